@@ -1,0 +1,40 @@
+"""Parents of nodes in documents that were flattened to (order, depth) rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def with_parents(nodes: DataFrame, doc: list[str], order: str, depth: str, parent: str = "parent") -> DataFrame:
+    """Add the ``order`` value of each node's parent, null for roots.
+
+    Every node appears once as itself at its own depth and once as a candidate parent one level
+    below; within (document, level) the candidate just before a node is its parent.  This handles
+    any depth with one shuffle and needs no iteration.
+    """
+    payload = [c for c in nodes.columns if c not in doc]
+    roles = nodes.select(
+        *doc,
+        F.struct(*payload).alias("node"),
+        F.explode(F.array(
+            F.struct(F.col(depth).alias("level"), F.lit(None).cast("bigint").alias("candidate")),
+            F.struct((F.col(depth) + 1).alias("level"), F.col(order).cast("bigint").alias("candidate")),
+        )).alias("role"),
+    ).select(*doc, "node", F.col(f"node.{order}").alias("_o"), "role.level", "role.candidate")
+    seen = Window.partitionBy(*doc, "level").orderBy("_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        roles.withColumn(parent, F.last("candidate", ignorenulls=True).over(seen))
+        .filter(F.col("candidate").isNull())
+        .select(*doc, "node.*", parent)
+    )
+
+
+def count_children(nodes: DataFrame, doc: list[str], order: str, parent: str = "parent") -> DataFrame:
+    """Add ``children``, the number of direct children of each node."""
+    counts = (
+        nodes.filter(F.col(parent).isNotNull())
+        .groupBy(*doc, F.col(parent).alias(order))
+        .agg(F.count(F.lit(1)).alias("children"))
+    )
+    return nodes.join(counts, [*doc, order], "left").withColumn("children", F.coalesce("children", F.lit(0)))
