@@ -53,10 +53,10 @@ def event_counts(spark, sf):
     return OE.event_counts(_events(spark, sf), "event_type")
 
 
-@query("event_counts_windowed", "SELECT epoch_ms(time_bucket(INTERVAL 1 HOUR, ts)) AS window_ms, event_type, count(*) AS events FROM events GROUP BY ALL")
+@query("event_counts_windowed", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS events FROM events GROUP BY ALL")
 def event_counts_windowed(spark, sf):
     counted = OE.event_counts(_events(spark, sf), "event_type", "ts", "1 hour")
-    return counted.select(F.unix_millis(F.col("window_start").cast("timestamp")).alias("window_ms"), "event_type", "events")
+    return counted.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "events")
 
 
 def _subscriptions(events):
@@ -88,7 +88,7 @@ def delivered_events(spark, sf):
 
 _DEBOUNCED = """
     SELECT user_id, event_id FROM events
-    QUALIFY coalesce(lead(ts) OVER w - ts >= INTERVAL 2 HOUR, true) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY coalesce(lead(ts) OVER w - ts >= INTERVAL 2 HOUR, true)
     """
 
 
@@ -128,7 +128,7 @@ def load_progress(spark, sf):
 
 
 def _stream(spark, sf):
-    return SE.read_table_stream(spark, sf, "events")
+    return SE.read_table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("state_changes_stream", _CHANGES)
@@ -154,14 +154,14 @@ def first_occurrence_stream(spark, sf):
     "event_counts_stream",
     """
     WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS b, event_type, count(*) AS events FROM events GROUP BY ALL)
-    SELECT epoch_ms(b) AS window_ms, event_type, events FROM w
+    SELECT strftime(b, '%Y-%m-%d %H:%M') AS window_start, event_type, events FROM w
     WHERE b + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
     """,
 )
 def event_counts_stream(spark, sf):
     """Windows the final watermark has closed."""
     out = SE.run_available(SE.event_counts_stream(_stream(spark, sf), "event_type", "ts", "1 hour"))
-    return out.select(F.unix_millis(F.col("window_start").cast("timestamp")).alias("window_ms"), "event_type", "events")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "events")
 
 
 @query(
