@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,27 +17,29 @@ def prefix_sums(values: Column) -> Column:
     blocks of fixed size and then shifting every block by the total of the blocks before it keeps
     that cost linear in practice, without exploding the row and shuffling it.
     """
-    n = F.size(values)
-    blocks = F.transform(
-        F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int"))).otherwise(
-            F.array().cast("array<int>")
-        ),
-        lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK),
-    )
+    empty = F.array().cast("array<int>")
 
     def scan(items: Column, start: Column) -> Column:
         return F.aggregate(
             items,
-            F.struct(start.alias("run"), F.array().cast("array<int>").alias("out")),
+            F.struct(start.alias("run"), empty.alias("out")),
             lambda acc, x: F.struct(
                 (acc["run"] + x).alias("run"), F.array_append(acc["out"], acc["run"]).alias("out")
             ),
             lambda acc: acc["out"],
         )
 
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
-    starts = scan(totals, F.lit(0))
-    return F.flatten(F.zip_with(blocks, starts, scan))
+    def split(items: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _BLOCK).cast("int"))
+        return F.when(F.size(items) > 0, F.transform(numbers, lambda b: F.slice(items, b * _BLOCK + 1, _BLOCK))).otherwise(
+            F.array().cast("array<array<int>>")
+        )
+
+    def join(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
+        return F.flatten(F.zip_with(blocks, scan(totals, F.lit(0)), scan))
+
+    return let(let(values, split), join)
 
 
 def at(array: Column, index: Column | int) -> Column:
@@ -43,6 +47,15 @@ def at(array: Column, index: Column | int) -> Column:
     return F.get(array, index if isinstance(index, Column) else F.lit(index))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body mentions it.
+
+    Column expressions have no local names: a sub-expression that appears three times is built and
+    evaluated three times, and nesting multiplies that.  A one-element array binds it instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def indexed(array: Column, name: str = "v") -> Column:
     """``array<struct<i, v>>`` with the zero-based position beside each element."""
     return F.transform(array, lambda x, i: F.struct(i.alias("i"), x.alias(name)))

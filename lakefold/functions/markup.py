@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.files import utf8_text
+from .arrays import let
 from .xmltext import xml_struct
 
 
@@ -31,7 +32,7 @@ def first_part_text(parts: Column, names: list[str]) -> Column:
 def part_struct(parts: Column, name: Column | str, schema: str) -> Column:
     """A member read with a declared schema; malformed members are null."""
     parsed = xml_struct(part_text(parts, name), schema + ", _corrupt_record STRING")
-    return F.when(parsed["_corrupt_record"].isNull(), parsed)
+    return let(parsed, lambda p: F.when(p["_corrupt_record"].isNull(), p))
 
 
 def elements(markup: Column, tag: str) -> Column:
@@ -55,21 +56,30 @@ def first_element(markup: Column, tag: str) -> Column:
 
 def attribute(element: Column, name: str) -> Column:
     """Attribute of the element's own start tag, null when absent."""
-    pattern = f"(?s)^<[^>]*?\\s{name}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)')"
-    present = element.rlike(f"(?s)^<[^>]*?\\s{name}\\s*=")
-    value = F.concat(F.regexp_extract(element, pattern, 1), F.regexp_extract(element, pattern, 2))
-    return F.when(present, unescape(value))
+    pattern = f"(?s)^<[^>]*?\\s{name}\\s*=\\s*([\"'])(.*?)\\1"
+    return unescape(F.get(F.regexp_extract_all(element, F.lit(pattern), F.lit(2)), F.lit(0)))
+
+
+# The predefined entities other than the ampersand.
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
 
 
 def unescape(text: Column) -> Column:
-    """The predefined entities, the ampersand last so that escaped entities survive once."""
-    return F.when(F.contains(text, F.lit("&")), F.replace(_but_amp(text), F.lit("&amp;"), F.lit("&"))).otherwise(text)
+    """Predefined and numeric character references, each resolved once."""
+    names = F.create_map(*[F.lit(v) for kv in _ENTITIES.items() for v in kv])
+
+    def one(piece: Column) -> Column:
+        number = F.when(piece.startswith("&#x"), F.regexp_extract(piece, "^&#x([0-9a-fA-F]{1,6});$", 1)).otherwise(
+            F.hex(F.regexp_extract(piece, "^&#(\\d{1,7});$", 1).try_cast("bigint"))
+        )
+        char = F.decode(F.unhex(F.lpad(F.nullif(number, F.lit("")), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(names, piece), F.when(piece.startswith("&#"), char), piece)
 
+    def resolve(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, F.lit("(&#?\\w+;|[^&]++|&)"), F.lit(1))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(t)
 
-def _but_amp(text: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    return let(text, resolve)
 
 
 def text_content(element: Column) -> Column:
@@ -92,10 +102,11 @@ def leading_float(text: Column) -> Column:
 def resolve_target(source_dir: str, target: Column) -> Column:
     """Part name of a relationship target: absolute, or relative to the folder of its source part."""
     up = source_dir.rstrip("/").rsplit("/", 1)[0] + "/" if "/" in source_dir.rstrip("/") else ""
-    return (
-        F.when(target.startswith("/"), F.substring(target, 2, 2147483647))
-        .when(target.startswith("../"), F.concat(F.lit(up), F.substring(target, 4, 2147483647)))
-        .otherwise(F.concat(F.lit(source_dir), target))
+    return let(
+        target,
+        lambda t: F.when(t.startswith("/"), F.substring(t, 2, 2147483647))
+        .when(t.startswith("../"), F.concat(F.lit(up), F.substring(t, 4, 2147483647)))
+        .otherwise(F.concat(F.lit(source_dir), t)),
     )
 
 

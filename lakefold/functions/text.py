@@ -15,7 +15,7 @@ SCRIPT_SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\
 
 def trim_space(text: Column) -> Column:
     """Strip leading and trailing white space in the script sense."""
-    return F.regexp_replace(text, f"^[{SCRIPT_SPACE}]+|[{SCRIPT_SPACE}]+\\z", "")
+    return F.regexp_replace(text, f"^[{SCRIPT_SPACE}]++|(?<![{SCRIPT_SPACE}])[{SCRIPT_SPACE}]++\\z", "")
 
 
 def is_blank(text: Column) -> Column:

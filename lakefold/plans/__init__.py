@@ -1,6 +1,6 @@
 """Registered queries, one module per operator family."""
 
-from . import basics, detection, eventlog, packages, structured  # noqa: F401
+from . import basics, detection, eventlog, office, packages, structured  # noqa: F401
 from .tables import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -145,3 +145,100 @@ def et_parts(part: DataFrame) -> DataFrame:
             entry("b.xml", cat('<worksheet><sheetData><row><c r="A1" t="b"><v>1</v></c><c r="B1"><f>A1</f><v>', F.col("p_brand"), "</v></c></row></sheetData></worksheet>")),
         ).alias("parts"),
     ))
+
+
+def _p(*runs: Column | str, props: Column | str = "") -> Column:
+    return cat("<w:p>", props, *runs, "</w:p>")
+
+
+def _t(text: Column | str, style: str = "") -> Column:
+    return cat("<w:r>", style, '<w:t xml:space="preserve">', text, "</w:t></w:r>")
+
+
+def docx_documents(docs: DataFrame) -> DataFrame:
+    """Document per row: a styled two-run paragraph per line, a table with a nested table, a text box, an image."""
+    line = lines_of(F.col("text"))
+    first = '<w:rPr><w:b/><w:sz w:val="28"/><w:color w:val="FF0000"/><w:rFonts w:ascii="Arial"/></w:rPr>'
+    rest = '<w:rPr><w:i/><w:u w:val="single"/><w:color w:val="auto"/></w:rPr>'
+
+    def paragraph(v: Column, i: Column) -> Column:
+        style = F.when(i == 0, '<w:pStyle w:val="T1"/>').when(i == 1, '<w:pStyle w:val="H1"/>').when(i == 2, '<w:pStyle w:val="Odd"/>').otherwise("")
+        jc = F.when(i % 2 == 0, '<w:jc w:val="center"/>').otherwise("")
+        return F.when((v == "") & (i % 2 == 0), '<w:p w:rsidR="1"/>').otherwise(_p(
+            _t(xml_escape(F.substring(v, 1, 5)), first), "<w:r><w:tab/></w:r>", _t(xml_escape(F.substring(v, 6, 1000000000)), rest),
+            props=cat("<w:pPr>", style, jc, "</w:pPr>"),
+        ))
+
+    nested = cat("<w:tbl><w:tr><w:tc>", _p(_t("n")), "</w:tc></w:tr></w:tbl>")
+    table = cat("<w:tbl><w:tblPr/><w:tr><w:tc>", _p(_t(F.col("lang"))), "</w:tc><w:tc>", _p(_t(F.col("source"))), nested, "</w:tc></w:tr><w:tr><w:tc>",
+                _p(_t(F.col("doc_id"))), "</w:tc></w:tr></w:tbl>")
+    box = cat("<w:r><w:pict><w:txbxContent>", _p(_t("boxed")), "</w:txbxContent></w:pict></w:r>")
+    body = cat(_HEAD, '<w:document xmlns:w="urn:w"><w:body>', F.array_join(F.transform(line, paragraph), ""), table, _p(_t("out"), box), "</w:body></w:document>")
+    styles = (
+        '<w:styles xmlns:w="urn:w"><w:style w:type="paragraph" w:styleId="T1"><w:name w:val="Title"/><w:basedOn w:val="Normal"/></w:style>'
+        '<w:style w:type="paragraph" w:styleId="H1"><w:name w:val="heading 1"/></w:style><w:style w:type="paragraph" w:styleId="Odd"><w:name w:val="Odd Style"/></w:style>'
+        '<w:style w:styleId="NoType"><w:name w:val="x"/></w:style></w:styles>'
+    )
+    rels = ('<Relationships xmlns="urn:rel"><Relationship Id="rId1" Type="urn/styles" Target="styles.xml"/><Relationship Id="rId2" Type="urn/image" Target="media/image1.png"/>'
+            '<Relationship Id="rId3" Type="urn/image" Target="../media/two.JPG"/><Relationship Id="rId4" Type="urn/image" Target="media/none.png"/></Relationships>')
+    return damage(pack(docs.select(
+        cat("d", F.col("doc_id"), ".docx").alias("path"),
+        F.array(
+            entry("word/document.xml", body), entry("word/styles.xml", F.lit(styles)), entry("word/_rels/document.xml.rels", F.lit(rels)),
+            entry("word/media/image1.png", F.col("source")), entry("media/two.JPG", F.col("lang")),
+        ).alias("parts"),
+    )))
+
+
+def wps_parts(part: DataFrame) -> DataFrame:
+    """WPS text per part row, its main part under each of the three names; some hold only tables."""
+    k = F.col("p_partkey") % 3
+    name = F.when(k == 0, "document.xml").when(k == 1, "doc.xml").otherwise("content.xml")
+    paragraphs = cat('<doc xmlns:x="u"><p align="center"><t>', F.col("p_name"), "</t><t> &#233;&amp;</t></p><x:p jc='left'>whole <b>", F.col("p_brand"), "</b></x:p><p/><table><row><cell>no</cell></row></table></doc>")
+    rows = cat("<doc><table><row><cell><t>", F.col("p_name"), "</t></cell><cell>", F.col("p_brand"), "</cell></row></table></doc>")
+    trs = cat("<doc><x><table><tr><td>", F.col("p_name"), "</td></tr><tr><td>", F.col("p_brand"), "</td></tr></table></x></doc>")
+    styles = '<styles><style id="s1" font="Arial" size="12"/><style name="only" a=\'b\'>x</style><style other="1"/></styles>'
+    return pack(part.select(
+        cat("p", F.col("p_partkey"), ".wps").alias("path"),
+        F.array(entry(name, F.when(k == 0, paragraphs).when(k == 1, rows).otherwise(trs)), entry("style.xml", F.lit(styles))).alias("parts"),
+    ))
+
+
+def pptx_parts(part: DataFrame) -> DataFrame:
+    """Deck per part row: three listed slides, the last without a part; text, shape, picture, transitions."""
+    ns = 'xmlns:p="urn:p" xmlns:a="urn:a" xmlns:r="urn:r"'
+    xfrm = cat('<a:xfrm><a:off x="', F.col("p_size") * 9525, '" y="19050"/><a:ext cx="952500" cy="', F.col("p_partkey") * 9525, '"/></a:xfrm>')
+    text = cat("<p:sp><p:spPr>", xfrm, '</p:spPr><p:txBody><a:p><a:r><a:rPr b="1" sz="2400"><a:solidFill><a:srgbClr val="FF0000"/></a:solidFill></a:rPr><a:t>', F.col("p_name"),
+               '</a:t></a:r><a:r><a:rPr i="1"/><a:t>', F.col("p_brand"), "</a:t></a:r><a:r><a:rPr/></a:r></a:p></p:txBody></p:sp>")
+    shape = cat("<p:sp><p:spPr>", xfrm, '<a:prstGeom prst="ellipse"/><a:solidFill><a:srgbClr val="00FF00"/></a:solidFill></p:spPr></p:sp><p:sp><p:spPr/></p:sp>')
+    pic = cat('<p:pic><p:blipFill><a:blip r:embed="rId7"/></p:blipFill><p:spPr>', xfrm, '</p:spPr></p:pic><p:pic><p:blipFill><a:blip r:embed="rId8"/></p:blipFill></p:pic>')
+    slide = lambda tree, tail: cat(f"<p:sld {ns}><p:cSld><p:spTree>", tree, "</p:spTree></p:cSld>", tail, "</p:sld>")
+    rels = lambda *items: '<Relationships xmlns="urn:rel">' + "".join(f'<Relationship Id="{i}" Type="t" Target="{t}"/>' for i, t in items) + "</Relationships>"
+    deck = f'<p:presentation {ns}><p:sldIdLst><p:sldId id="256" r:id="rId3"/><p:sldId id="257" r:id="rId2"/><p:sldId id="258" r:id="rId9"/></p:sldIdLst></p:presentation>'
+    app = cat("<Properties><Application>Deck</Application><Manager>", F.col("p_brand"), "</Manager><Title>", F.col("p_name"), " &amp; co</Title></Properties>")
+    return damage(pack(part.select(
+        cat("p", F.col("p_partkey"), ".pptx").alias("path"),
+        F.array(
+            entry("docProps/app.xml", app), entry("ppt/presentation.xml", F.lit(deck)),
+            entry("ppt/_rels/presentation.xml.rels", F.lit(rels(("rId2", "slides/slide1.xml"), ("rId3", "slides/slide2.xml"), ("rId9", "slides/slide9.xml")))),
+            entry("ppt/slides/slide2.xml", slide(cat(text, shape, pic), "<p:transition><p:fade/></p:transition>")),
+            entry("ppt/slides/slide1.xml", slide("<p:grpSp><p:sp><p:txBody><a:p><a:r><a:t>solo</a:t></a:r></a:p></p:txBody></p:sp></p:grpSp>", F.when(F.col("p_partkey") % 2 == 0, "<p:transition/>").otherwise(""))),
+            entry("ppt/slides/_rels/slide2.xml.rels", F.lit(rels(("rId7", "../media/a.png"), ("rId8", "../media/lost.png")))),
+            entry("ppt/slides/_rels/slide1.xml.rels", F.lit(rels(("rId7", "../media/b.png")))),
+            entry("ppt/media/a.png", F.col("p_type")), entry("ppt/media/b.png", F.lit("b")),
+        ).alias("parts"),
+    )))
+
+
+def dps_parts(part: DataFrame) -> DataFrame:
+    """WPS deck per part row with default and explicit names, shared strings, shapes, an image and media."""
+    body = cat('<slide><shape id="s1" type="circle" x="', F.col("p_size"), '" y="200" width="300"/><shape id="s2"/><text><t>#1</t></text><text><t>#9</t></text><text><t>',
+               F.col("p_name"), '</t></text><text/><image ref="img1" x="5"/></slide>')
+    return pack(part.select(
+        cat("p", F.col("p_partkey"), ".dps").alias("path"),
+        F.array(
+            entry("Presentation.xml", F.lit('<deck><slides><slide/><slide id="7" name="Two" filename="s.xml"/><slide filename="none.xml"/></slides></deck>')),
+            entry("SharedStrings.xml", cat("<sst><si><t>zero</t></si><si><t>", F.col("p_brand"), "</t></si><si/></sst>")),
+            entry("2.xml", body), entry("s.xml", F.lit("<slide><text><t>plain</t></text></slide>")), entry("media/one.PNG", F.col("p_type")), entry("media/two.bin", F.lit("xx")),
+        ).alias("parts"),
+    ))

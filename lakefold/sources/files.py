@@ -101,8 +101,7 @@ def accumulate_selection(current: DataFrame, chosen: DataFrame, multiple: bool =
 
 def utf8_text(content: Column) -> Column:
     """Bytes as UTF-8 text: a leading mark is dropped, malformed bytes become the replacement character."""
-    body = F.when(F.startswith(content, F.unhex(F.lit("EFBBBF"))), F.substring(content, 4, 2147483647)).otherwise(content)
-    return F.make_valid_utf8(body.cast("string"))
+    return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\\uFEFF", "")
 
 
 def text_files(files: DataFrame) -> DataFrame:
