@@ -242,3 +242,92 @@ def dps_parts(part: DataFrame) -> DataFrame:
             entry("2.xml", body), entry("s.xml", F.lit("<slide><text><t>plain</t></text></slide>")), entry("media/one.PNG", F.col("p_type")), entry("media/two.bin", F.lit("xx")),
         ).alias("parts"),
     ))
+
+
+def epub_documents(docs: DataFrame) -> DataFrame:
+    """Book per document: a chapter per line, a nested contents tree, an image, metadata."""
+    line = lines_of(F.col("text"))
+    item = F.transform(line, lambda v, i: cat('<item id="c', i, '" href="text/c', i, '.xhtml" media-type="application/xhtml+xml"/>'))
+    ref = F.transform(line, lambda v, i: cat('<itemref idref="c', i, '"/>'))
+    # even chapters are top-level points, the odd one after each is its child
+    point = F.transform(line, lambda v, i: cat(
+        '<navPoint id="n', i, '"><navLabel><text> Chapter ', i, ' &amp; </text></navLabel><content src="text/c', i, '.xhtml"/>',
+        F.when((i % 2 == 0) & (i + 1 < F.size(line)), "").when(i % 2 == 0, "</navPoint>").otherwise("</navPoint></navPoint>")))
+    opf = cat(
+        _HEAD, '<package xmlns:dc="urn:dc"><metadata><dc:title>', xml_escape(F.substring(F.get(line, F.lit(0)), 1, 20)), "</dc:title><dc:creator>", F.col("source"), "</dc:creator><dc:language>", F.col("lang"),
+        '</dc:language></metadata><manifest><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/><item id="cover" href="img/cover.jpg" media-type="image/jpeg"/>'
+        '<item id="lost" href="img/lost.png" media-type="image/png"/><item id="gone" href="gone.xhtml" media-type="x"/>', F.array_join(item, ""),
+        '</manifest><spine toc="ncx"><itemref idref="nowhere"/><itemref idref="gone"/>', F.array_join(ref, ""), "</spine></package>",
+    )
+    chapters = F.transform(line, lambda v, i: entry(cat("OEBPS/text/c", i, ".xhtml"), cat(
+        "<html><head><title>Chapter ", i, " &amp;</title><style>s</style></head><body><p>", xml_escape(v), "</p></body></html>")))
+    return damage(pack(docs.select(
+        cat("d", F.col("doc_id"), ".epub").alias("path"),
+        F.concat(F.array(
+            entry("META-INF/container.xml", F.lit('<container><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>')),
+            entry("OEBPS/content.opf", opf), entry("OEBPS/toc.ncx", cat("<ncx><navMap>", F.array_join(point, ""), "</navMap></ncx>")), entry("OEBPS/img/cover.jpg", F.col("source")),
+        ), chapters).alias("parts"),
+    )))
+
+
+def ofd_documents(docs: DataFrame) -> DataFrame:
+    """OFD per document: a page per line with hex and plain text, an image and a path; one listed page has no content."""
+    line = lines_of(F.col("text"))
+    head = F.hex(F.encode(F.regexp_replace("lang", "[^a-z]", ""), "UTF-8"))
+    page = F.transform(line, lambda v, i: F.when(i == 0, '<ofd:Page ID="first" BaseLoc="x"/>').otherwise('<ofd:Page BaseLoc="x"/>'))
+    body = F.transform(line, lambda v, i: entry(cat("Doc_0/Pages/Page_", i, "/Content.xml"), cat(
+        '<ofd:Page xmlns:ofd="urn:ofd">', F.when(i % 2 == 0, "<ofd:Area><ofd:PhysicalBox>0 0 100 0</ofd:PhysicalBox></ofd:Area>").otherwise(""),
+        '<ofd:Content><ofd:Layer><ofd:PathObject ID="3" Boundary="1 2 3 4" LineWidth="0.5"><ofd:StrokeColor Value="#FF0000"/></ofd:PathObject><ofd:TextObject ID="1" Boundary="', i, ' 5 6.5 7"><ofd:TextCode X="0" Y="1">',
+        head, "</ofd:TextCode><ofd:TextCode>", xml_escape(v), '</ofd:TextCode></ofd:TextObject><ofd:ImageObject ID="2" ResourceID="res', i % 2, '"/></ofd:Layer></ofd:Content></ofd:Page>')))
+    return damage(pack(docs.select(
+        cat("d", F.col("doc_id"), ".ofd").alias("path"),
+        F.concat(F.array(
+            entry("OFD.xml", F.lit('<ofd:OFD xmlns:ofd="urn:ofd" Version="1.1"/>')),
+            entry("Doc_0/Document.xml", cat('<ofd:Document xmlns:ofd="urn:ofd"><ofd:CommonData><ofd:Title>', F.col("source"), "</ofd:Title><ofd:Creator>", F.col("lang"), "</ofd:Creator></ofd:CommonData></ofd:Document>")),
+            entry("Doc_0/Pages.xml", cat('<ofd:Pages xmlns:ofd="urn:ofd">', F.array_join(page, ""), "<ofd:Page/></ofd:Pages>")),
+            entry("Doc_0/Res/a_res1.png", F.col("source")), entry("Doc_0/Res/b_res1.png", F.lit("second")),
+        ), body).alias("parts"),
+    )))
+
+
+def _pdf(path: str, lines: list[str], title: str) -> bytes:
+    """One page per ten lines; odd pages use two compressed streams, even pages one plain stream."""
+    import zlib
+
+    out, n = bytearray(b"%PDF-1.7\n"), 4
+    pages, bodies = [], []
+    for k in range(0, len(lines), 10):
+        shown = [("(" + x.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)") + ") Tj").encode("latin-1", "replace") for x in lines[k:k + 10]]
+        text = b"BT\n/F1 12 Tf\n" + b"\n".join(shown) + b"\nET"
+        number = k // 10
+        if number % 2:
+            halves = [zlib.compress(text), zlib.compress(b"/Im1 Do\n[(a) -20 (\\142)] TJ")]
+            streams = [b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(h), h) for h in halves]
+        else:
+            streams = [b"<< /Length %d >>\nstream\n%s\nendstream" % (len(text), text)]
+        refs = list(range(n + 1, n + 1 + len(streams)))
+        where = b"[ %s ]" % b" ".join(b"%d 0 R" % r for r in refs) if len(refs) > 1 else b"%d 0 R" % refs[0]
+        box = b" /MediaBox [0 0 %d 400.4]" % (100 + number) if number % 2 else b""
+        bodies.append((n, b"<< /Type /Page /Parent 2 0 R%s /Contents %s >>" % (box, where)))
+        bodies += list(zip(refs, streams, strict=True))
+        pages.append(n)
+        n += 1 + len(streams)
+    kids = b" ".join(b"%d 0 R" % p for p in pages)
+    head = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [%s] /Count %d >>" % (kids, len(pages))),
+            (3, b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>")]
+    info = [(n, b"<< /Title (%s \\(x\\)) /Producer (lake) >>" % title.encode("latin-1", "replace")), (n + 1, b"<< /Type /Font /Subtype /TrueType /BaseFont /Odd+Sans /Encoding /MacRomanEncoding >>")]
+    for number, body in head[:1] + bodies[::-1] + head[1:] + info:
+        out += b"%d 0 obj\n%s\nendobj\n" % (number, body)
+    out += b"xref\n0 1\n0000000000 65535 f \ntrailer\n<< /Size %d /Root 1 0 R /Info %d 0 R%s >>\nstartxref\n0\n%%%%EOF\n" % (n + 2, n, b" /Encrypt 9 0 R" if "9" in path else b"")
+    return bytes(out)
+
+
+def pdf_documents(docs: DataFrame) -> DataFrame:
+    """PDF per document: ten lines a page, characters outside Latin-1 replaced; the page objects lie in reverse order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_pdf(p, t.split("\n"), s) for p, t, s in zip(*(batch.column(c).to_pylist() for c in ("path", "text", "source")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(made, pa.binary())], ["path", "content"])
+
+    return docs.select(cat("d", F.col("doc_id"), ".pdf").alias("path"), "text", "source").mapInArrow(run, "path STRING, content BINARY")
