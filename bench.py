@@ -36,6 +36,7 @@ def main() -> None:
         try:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             seconds[name] = round(time.perf_counter() - started, 3)
+            print(name, seconds[name], file=sys.stderr, flush=True)
         except Exception as err:  # noqa: BLE001 - one failing query must not hide the others
             failed[name] = f"{type(err).__name__}: {str(err)[:200]}"
     spark.stop()

@@ -93,13 +93,19 @@ def ofd_elements(docs: DataFrame) -> DataFrame:
 def ofd_resources(files: DataFrame, docs: DataFrame) -> DataFrame:
     """``(path, page_no, element_no, resource_id, name, size, data)``: first part under the resource folder whose name contains the id.
 
-    A containment join with the file as equality key.
+    A containment join with the file as equality key; each id of a file is looked up once, by name
+    only, and the bytes follow in an equi-join.
     """
     wanted = ofd_elements(docs).filter(F.coalesce("resource_id", F.lit("")) != "").select("path", "page_no", "element_no", "resource_id")
     stored = archive_parts(files, "^Doc_0/Res/").filter("error IS NULL").select("path", "entry_no", "name", "data")
-    matched = wanted.join(stored, (wanted["path"] == stored["path"]) & F.contains(stored["name"], wanted["resource_id"])).drop(stored["path"])
-    first = matched.groupBy("path", "page_no", "element_no", "resource_id").agg(F.min_by(F.struct("name", "data"), "entry_no").alias("r"))
-    return first.select("path", "page_no", "element_no", "resource_id", "r.name", F.octet_length("r.data").cast("bigint").alias("size"), "r.data")
+    ids, names = wanted.select("path", "resource_id").distinct(), stored.select(F.col("path").alias("_path"), "entry_no", "name")
+    first = (
+        ids.join(names, (F.col("path") == F.col("_path")) & F.contains("name", "resource_id"))
+        .groupBy("path", "resource_id").agg(F.min("entry_no").alias("entry_no"))
+    )
+    return wanted.join(first, ["path", "resource_id"]).join(stored, ["path", "entry_no"]).select(
+        "path", "page_no", "element_no", "resource_id", "name", F.octet_length("data").cast("bigint").alias("size"), "data"
+    )
 
 
 def ofd_meta(docs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import ensure_checkpoint_dir
@@ -20,9 +21,10 @@ WATERMARK = "10 minutes"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
-    """A parquet table of the folder as a stream of files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1,
+                      schema: StructType | None = None) -> DataFrame:
+    """The parquet files of a table in the folder as a stream of files."""
+    schema = schema or spark.read.parquet(f"{folder}/{name}.parquet").schema
     return (
         spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
         .option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
