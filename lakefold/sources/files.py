@@ -41,7 +41,7 @@ def file_headers(files: DataFrame, n: int = 16) -> DataFrame:
     source = files.select("path", "length")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from urllib.parse import unquote
+        from urllib.parse import quote
 
         from pyarrow import fs
 
@@ -49,8 +49,8 @@ def file_headers(files: DataFrame, n: int = 16) -> DataFrame:
             heads = []
             for uri in batch.column("path").to_pylist():
                 try:
-                    store, inner = fs.FileSystem.from_uri(uri)
-                    with store.open_input_stream(unquote(inner)) as stream:
+                    store, inner = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+                    with store.open_input_stream(inner) as stream:
                         heads.append(stream.read(n))
                 except (OSError, pa.ArrowInvalid):
                     heads.append(None)
