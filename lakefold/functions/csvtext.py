@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import at
+from .arrays import at, let
 from .text import is_blank, lines_of, trim_space
 
 
@@ -51,7 +51,7 @@ def csv_records(text: Column, opt: CsvOptions = CsvOptions()) -> Column:
     pattern = f"([^{q}\\n]*+(?:{q}[^{q}]*+(?:{q}|\\z)[^{q}\\n]*+)*+)(?:\\n|\\z)"
     found = F.regexp_extract_all(normalize_newlines(text), F.lit(pattern), F.lit(1))
     # the end of the text always matches once more with an empty record
-    return F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0)))
+    return let(found, lambda r: F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0))))
 
 
 def csv_fields(record: Column, opt: CsvOptions = CsvOptions()) -> Column:
@@ -91,16 +91,17 @@ def csv_header(rows: Column, opt: CsvOptions = CsvOptions()) -> Column:
 
 
 def csv_data(rows: Column, opt: CsvOptions = CsvOptions()) -> Column:
-    return F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))) if opt.has_header else rows
+    return let(rows, lambda r: F.slice(r, F.lit(2), F.greatest(F.size(r), F.lit(1)))) if opt.has_header else rows
 
 
 def header_map(header: Column, columns: Column) -> Column:
     """Header-keyed values; missing fields null, surplus dropped, the last of equal headers wins."""
-    entries = F.transform(header, lambda h, i: F.struct(h.alias("key"), F.get(columns, i).alias("value"), i.alias("i")))
-    last = F.filter(
-        entries, lambda e: ~F.exists(F.slice(header, e["i"] + 2, F.size(header)), lambda h: h == e["key"])
-    )
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+    def build(head: Column) -> Column:
+        entries = F.transform(head, lambda h, i: F.struct(h.alias("key"), F.get(columns, i).alias("value"), i.alias("i")))
+        last = F.filter(entries, lambda e: ~F.exists(F.slice(head, e["i"] + 2, F.size(head)), lambda h: h == e["key"]))
+        return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
+
+    return let(header, build)
 
 
 def csv_profile(text: Column, opt: CsvOptions = CsvOptions()) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
-from .arrays import prefix_sums
+from .arrays import let, prefix_sums
 
 # One JSON string literal; possessive, so long strings do not deepen the stack.
 STRING_LITERAL = '"(?:[^"\\\\]|\\\\.)*+"'
@@ -37,7 +37,15 @@ def json_profile(text: Column) -> Column:
 
     Counted over structural characters after string literals are blanked out, in one linear fold.
     """
-    bare = F.regexp_replace(text, STRING_LITERAL, "s")
+    invalid = F.struct(
+        F.lit(False).alias("valid"),
+        F.lit(None).cast("string").alias("data_type"),
+        *[F.lit(None).cast("bigint").alias(n) for n in ("keys", "arrays", "objects", "max_depth")],
+    )
+    return F.when(is_valid_json(text), let(F.regexp_replace(text, STRING_LITERAL, "s"), _count)).otherwise(invalid)
+
+
+def _count(bare: Column) -> Column:
     marks = F.regexp_extract_all(bare, F.lit("([{}\\[\\]]|[^\\s{}\\[\\]:,]++)"), F.lit(1))
     walked = F.aggregate(
         marks,
@@ -52,7 +60,7 @@ def json_profile(text: Column) -> Column:
     )
     # a key is followed by a colon and is not a level of its own, but its value always is
     kind = F.substring(F.ltrim(bare), 1, 1)
-    body = F.struct(
+    return F.struct(
         F.lit(True).alias("valid"),
         F.when(kind == "[", "array")
         .when(kind.isin("{", "n"), "object")
@@ -65,12 +73,6 @@ def json_profile(text: Column) -> Column:
         F.regexp_count(bare, F.lit("\\{")).cast("bigint").alias("objects"),
         walked["deepest"].cast("bigint").alias("max_depth"),
     )
-    invalid = F.struct(
-        F.lit(False).alias("valid"),
-        F.lit(None).cast("string").alias("data_type"),
-        *[F.lit(None).cast("bigint").alias(n) for n in ("keys", "arrays", "objects", "max_depth")],
-    )
-    return F.when(is_valid_json(text), body).otherwise(invalid)
 
 
 def _canonical_scalar(token: Column) -> Column:
@@ -92,7 +94,10 @@ def json_pretty(text: Column) -> Column:
 
     The VARIANT and struct writers have no matching layout, so the token list is re-joined.
     """
-    toks = json_tokens(text)
+    return F.when(is_valid_json(text), let(json_tokens(text), _lay_out))
+
+
+def _lay_out(toks: Column) -> Column:
     steps = F.transform(toks, lambda t: F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0))
 
     def line_break(level: Column) -> Column:
@@ -112,7 +117,7 @@ def json_pretty(text: Column) -> Column:
 
     placed = F.zip_with(toks, prefix_sums(steps), lambda t, d: F.struct(t.alias("t"), d.alias("d")))
     laid_out = F.transform(placed, lambda p, i: render(p["t"], i, p["d"]))
-    return F.when(is_valid_json(text), F.array_join(laid_out, ""))
+    return F.array_join(laid_out, "")
 
 
 @F.pandas_udf(IntegerType())

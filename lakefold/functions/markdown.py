@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
 from .text import is_blank, lines_of, trim_space
 
 HEADING = "^(#{1,6})\\s+(.+)$"
@@ -29,7 +30,10 @@ def md_headings(text: Column) -> Column:
 
 def md_code_blocks(text: Column) -> Column:
     """language, start_line, end_line, lines of each closed fence pair; an open last fence is dropped."""
-    fences = F.filter(_numbered(text), lambda n: n["line"].startswith("```"))
+    return let(F.filter(_numbered(text), lambda n: n["line"].startswith("```")), _fence_pairs)
+
+
+def _fence_pairs(fences: Column) -> Column:
     pairs = F.floor(F.size(fences) / 2).cast("int")
     opens = F.filter(fences, lambda f, i: (i % 2 == 0) & (i < pairs * 2))
     closes = F.filter(fences, lambda f, i: i % 2 == 1)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import prefix_sums
+from .arrays import let, prefix_sums
 
 # Fixed value: the code points a script engine treats as white space (Java's \s is ASCII only).
 SCRIPT_SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
@@ -45,10 +45,9 @@ def line_hit_starts(line: Column, keyword: str) -> Column:
     """Zero-based starts of the non-overlapping matches of ``keyword`` in one line."""
     pieces = F.split(line, literal_pattern(keyword), -1)
     widths = F.transform(
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p) + F.lit(len(keyword))
+        let(pieces, lambda p: F.slice(p, F.lit(1), F.size(p) - 1)), lambda p: F.length(p) + F.lit(len(keyword))
     )
-    starts = prefix_sums(widths)
-    return F.zip_with(starts, widths, lambda s, w: s + w - F.lit(len(keyword)))
+    return let(widths, lambda ws: F.zip_with(prefix_sums(ws), ws, lambda s, w: s + w - F.lit(len(keyword))))
 
 
 def highlight(text: Column, keyword: str, css_class: str = "txt-search-highlight") -> Column:

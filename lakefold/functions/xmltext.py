@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import prefix_sums
+from .arrays import let, prefix_sums
 from .text import trim_space
 
 _NAME = "[^\\s/>=]+"
@@ -54,7 +54,11 @@ def _is_close(t: Column) -> Column:
 
 def xml_profile(text: Column) -> Column:
     """valid, root_element, element_count, max_depth, has_doctype, declaration, size."""
-    tokens = F.filter(xml_tokens(text), lambda t: t.startswith("<") & ~t.rlike("^<[!?]"))
+    tags = F.filter(xml_tokens(text), lambda t: t.startswith("<") & ~t.rlike("^<[!?]"))
+    return let(F.struct(tags.alias("tags"), is_valid_xml(text).alias("valid")), lambda m: _profile(text, m["tags"], m["valid"]))
+
+
+def _profile(text: Column, tokens: Column, valid: Column) -> Column:
     depth = F.aggregate(
         tokens,
         F.struct(F.lit(0).alias("level"), F.lit(0).alias("deepest")),
@@ -63,7 +67,6 @@ def xml_profile(text: Column) -> Column:
             F.greatest(acc["deepest"], acc["level"] + F.when(_is_close(t), 0).otherwise(1)).alias("deepest"),
         ),
     )
-    valid = is_valid_xml(text)
     return F.struct(
         valid.alias("valid"),
         F.when(valid, F.regexp_extract(F.get(tokens, F.lit(0)), f"^<({_NAME})", 1)).alias("root_element"),
@@ -80,7 +83,10 @@ def xml_nodes(text: Column) -> Column:
 
     ``level`` is 1 for the root; ``kind`` is element, empty (nothing inside), text or comment.
     """
-    tokens = xml_tokens(text)
+    return let(xml_tokens(text), _walk)
+
+
+def _walk(tokens: Column) -> Column:
     steps = F.transform(tokens, lambda t: F.when(_is_open(t), 1).when(_is_close(t), -1).otherwise(0))
     walked = F.zip_with(
         F.zip_with(tokens, prefix_sums(steps), lambda t, l: F.struct(t.alias("t"), l.alias("l"))),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import prefix_sums
@@ -10,6 +10,12 @@ from ..functions.jsontext import is_valid_json, json_tokens
 from .trees import count_children, with_parents
 
 
+def _string(token: Column) -> Column:
+    """Value of a string literal; only literals with escapes need the JSON reader."""
+    parsed = F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>")[0]
+    return F.when(F.contains(token, F.lit("\\")), parsed).otherwise(F.substring(token, F.lit(2), F.length(token) - 2))
+
+
 def json_nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Pre-order nodes of valid documents: node id, parent id, depth, key, kind, scalar text, children.
 
@@ -43,10 +49,10 @@ def json_nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
     first = F.substring("token", 1, 1)
     return tree.select(
         key, "node_id", "parent", "depth",
-        F.from_json(F.concat(F.lit("["), F.col("key"), F.lit("]")), "array<string>")[0].alias("key"),
+        _string(F.col("key")).alias("key"),
         F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string")
         .when(first.isin("t", "f"), "boolean").when(first == "n", "null").otherwise("number").alias("kind"),
-        F.when(first == '"', F.from_json(F.concat(F.lit("["), F.col("token"), F.lit("]")), "array<string>")[0])
+        F.when(first == '"', _string(F.col("token")))
         .when(~first.isin("{", "["), F.col("token")).alias("value"),
         "children",
     )

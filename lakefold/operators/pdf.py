@@ -64,7 +64,7 @@ def pdf_page_contents(objects: DataFrame) -> DataFrame:
 def pdf_string(text: Column) -> Column:
     """A literal string without its parentheses and with its escapes resolved."""
     bare = F.regexp_replace(F.regexp_replace(text, "^\\(", ""), "\\)$", "")
-    tokens = F.regexp_extract_all(bare, F.lit("(?s)(\\\\[0-7]{1,3}|\\\\.|[^\\\\]++|\\\\)"), F.lit(1))
+    tokens = lambda b: F.regexp_extract_all(b, F.lit("(?s)(\\\\[0-7]{1,3}|\\\\.|[^\\\\]++|\\\\)"), F.lit(1))
 
     def one(t: Column) -> Column:
         return (
@@ -73,7 +73,7 @@ def pdf_string(text: Column) -> Column:
             .when(t == "\\n", "\n").when(t == "\\r", "\r").when(t == "\\t", "\t").otherwise(F.substring(t, 2, 1))
         )
 
-    return let(bare, lambda b: F.when(F.contains(b, F.lit("\\")), F.array_join(F.transform(tokens, one), "")).otherwise(b))
+    return let(bare, lambda b: F.when(F.contains(b, F.lit("\\")), F.array_join(F.transform(tokens(b), one), "")).otherwise(b))
 
 
 def _content_lines(contents: DataFrame) -> DataFrame:

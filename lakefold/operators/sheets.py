@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import at
+from ..functions.arrays import at, let
 from ..functions.markup import RELS_SCHEMA, leading_float, leading_int, part_struct, part_text, resolve_target
 from ..functions.xmltext import xml_struct
 from ..sources.archive import open_packages
@@ -96,7 +96,7 @@ def _sheet_list(parts: Column, by_rel_number: bool) -> Column:
     listed = part_struct(parts, "xl/workbook.xml", "sheets STRUCT<sheet: ARRAY<STRUCT<_name: STRING, _sheetId: STRING, _id: STRING>>>")
     rels = part_struct(parts, "xl/_rels/workbook.xml.rels", RELS_SCHEMA)["Relationship"]
 
-    def one(s: Column, i: Column) -> Column:
+    def one(rels: Column, s: Column, i: Column) -> Column:
         digits = F.regexp_extract(s["_id"], "rId(\\d+)", 1)
         by_number = F.concat(F.lit("xl/worksheets/sheet"), F.when(digits != "", digits).otherwise((i + 1).cast("string")), F.lit(".xml"))
         target = at(F.filter(rels, lambda r: r["_Id"] == s["_id"]), 0)["_Target"]
@@ -105,7 +105,7 @@ def _sheet_list(parts: Column, by_rel_number: bool) -> Column:
             (by_number if by_rel_number else F.coalesce(resolve_target("xl/", target), by_number)).alias("part"),
         )
 
-    return F.transform(listed["sheets"]["sheet"], one)
+    return let(rels, lambda r: F.transform(listed["sheets"]["sheet"], lambda s, i: one(r, s, i)))
 
 
 def _et_sheet_list(parts: Column) -> Column:
@@ -202,7 +202,7 @@ def _rich_styles(parts: Column) -> Column:
     sheet = part_struct(parts, "xl/styles.xml", f"{_FONTS}, {_FILLS}, {_BORDERS}")
     on = lambda flag: F.coalesce(flag.isNotNull() & ~F.coalesce(flag["_val"].isin("0", "false"), F.lit(False)), F.lit(False))
 
-    def one(xf: Column) -> Column:
+    def one(sheet: Column, xf: Column) -> Column:
         font = F.get(sheet["fonts"]["font"], xf["font_id"])
         border = F.get(sheet["borders"]["border"], xf["border_id"])
         return F.struct(
@@ -214,7 +214,7 @@ def _rich_styles(parts: Column) -> Column:
             *[border[side]["_style"].alias(f"border_{side}") for side in ("top", "right", "bottom", "left")],
         )
 
-    return F.transform(_cell_xfs(parts), one)
+    return let(sheet, lambda s: F.transform(_cell_xfs(parts), lambda xf: one(s, xf)))
 
 
 def cell_rich_style(books: DataFrame) -> DataFrame:

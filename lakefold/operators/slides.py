@@ -33,10 +33,7 @@ def _slide_list(parts: Column, by_rel_number: bool = False) -> Column:
     ids = elements(part_text(parts, "ppt/presentation.xml"), "sldId")
     rels = part_struct(parts, "ppt/_rels/presentation.xml.rels", RELS_SCHEMA)["Relationship"]
 
-    def one(s: Column, i: Column) -> Column:
-        return let(attribute(s, "r:id"), lambda rid: resolve(s, i, rid))
-
-    def resolve(s: Column, i: Column, rid: Column) -> Column:
+    def resolve(rels: Column, s: Column, i: Column, rid: Column) -> Column:
         digits = F.nullif(F.regexp_extract(rid, "(\\d+)$", 1), F.lit(""))
         number = F.coalesce(digits, (i + 1).cast("string"))
         by_number = F.concat(F.lit("ppt/slides/slide"), number, F.lit(".xml"))
@@ -46,7 +43,7 @@ def _slide_list(parts: Column, by_rel_number: bool = False) -> Column:
             (by_number if by_rel_number else F.coalesce(resolve_target("ppt/", target), by_number)).alias("part"),
         )
 
-    return F.transform(ids, one)
+    return let(rels, lambda r: F.transform(ids, lambda s, i: let(attribute(s, "r:id"), lambda rid: resolve(r, s, i, rid))))
 
 
 def slides(decks: DataFrame, by_rel_number: bool = False) -> DataFrame:
