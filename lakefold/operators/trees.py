@@ -31,10 +31,16 @@ def with_parents(nodes: DataFrame, doc: list[str], order: str, depth: str, paren
 
 
 def count_children(nodes: DataFrame, doc: list[str], order: str, parent: str = "parent") -> DataFrame:
-    """Add ``children``, the number of direct children of each node."""
-    counts = (
-        nodes.filter(F.col(parent).isNotNull())
-        .groupBy(*doc, F.col(parent).alias(order))
-        .agg(F.count(F.lit(1)).alias("children"))
-    )
-    return nodes.join(counts, [*doc, order], "left").withColumn("children", F.coalesce("children", F.lit(0)))
+    """Add ``children``, the number of direct children of each node.
+
+    Every node reports itself to its own place and one child to its parent's place; one
+    aggregation by place merges both, so the nodes are computed once and not joined to themselves.
+    """
+    payload = [c for c in nodes.columns if c not in doc]
+    own = F.struct(*payload)
+    reports = nodes.select(*doc, F.explode(F.array(
+        F.struct(F.col(order).cast("bigint").alias("place"), own.alias("node"), F.lit(0).alias("n")),
+        F.struct(F.col(parent).cast("bigint").alias("place"), F.when(F.lit(False), own).alias("node"), F.lit(1).alias("n")),
+    )).alias("r")).select(*doc, "r.*").filter("place IS NOT NULL")
+    merged = reports.groupBy(*doc, "place").agg(F.first("node", ignorenulls=True).alias("node"), F.sum("n").alias("children"))
+    return merged.select(*doc, "node.*", "children")
