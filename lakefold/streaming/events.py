@@ -39,17 +39,24 @@ def run_available(stream: DataFrame, mode: str = "append", folder: str | None =
     spark = stream.sparkSession
     root = folder or f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     out, state = f"{root}/out", f"{root}/state"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-        schema = stream.schema
-    else:
-        def write(batch: DataFrame, number: int) -> None:
-            batch.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-        query = writer.foreachBatch(write).start()
-        schema = stream.withColumn("_batch", F.lit(0).cast("bigint")).schema
-    query.awaitTermination()
+    # every shuffle partition is a state store; a local session gains nothing from more stores than cores
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), spark.sparkContext.defaultParallelism)))
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+        if mode == "append":
+            query = writer.format("parquet").option("path", out).start()
+            schema = stream.schema
+        else:
+            def write(batch: DataFrame, number: int) -> None:
+                batch.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+            query = writer.foreachBatch(write).start()
+            schema = stream.withColumn("_batch", F.lit(0).cast("bigint")).schema
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     reader = spark.read.schema(schema)
     return reader.parquet(out) if mode == "append" else reader.option("recursiveFileLookup", "true").parquet(out)
 
