@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sharding
+from . import decontaminate, packing, sharding, simple8b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,23 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     placed = sharding.shard_rows(rows, 40, order=["doc_id", "size", "text_crc32"], seed=20240901)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_pack")
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as byte-level ids, packed into sequences of 1024."""
+    pieces = packing.pack_texts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=0, capacity=1024)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op6_simple8b")
+def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents, written and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simple8b.read_ids(simple8b.write_ids(docs, tokenizer_path("word_bpe_49k.json"), keeps_blanks=False, lower=True, end=1))
