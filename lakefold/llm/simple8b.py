@@ -1,12 +1,13 @@
 """Token-id files in Simple-8b coding.
 
 A 64-bit word has a four-bit selector in its top bits and packs as many ids as fit into 60 bits at equal
-width.  Selector 0 is the escape: its payload is a place in the file's list of ids wider than 60 bits.
-Coding restarts every ``BLOCK`` ids, and the footer holds each block's first word, so blocks are coded in
+width.  Selector 0 is the escape: its payload is a place in the segment's list of ids wider than 60 bits.
+Coding restarts every ``BLOCK`` ids, and each block's first word is kept, so blocks are coded in
 step as array lanes and decoded alone or together without a loop over words.
 
-File: magic and version (8 bytes) | words | escapes | footer arrays (document keys, document lengths, first
-word of each block) | lengths of the five arrays and the number of ids (6 x 8 bytes) | magic.
+A file is a row of segments, each led by its length in bytes, so writer and reader hold one segment at a time.
+Segment: magic and version (8 bytes) | words | escapes | document keys | document lengths | first word of each
+block | lengths of these five arrays and the number of ids (6 x 8 bytes) | magic.
 All values are little-endian.
 """
 
@@ -103,7 +104,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def decode(words: np.ndarray, escapes: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """The ids of a file, all blocks at once."""
+    """The ids of a segment, all blocks at once."""
     if not n:
         return np.zeros(0, np.uint64)
     chosen = (words >> np.uint64(60)).astype(np.int64)
@@ -125,15 +126,16 @@ def decode(words: np.ndarray, escapes: np.ndarray, first: np.ndarray, n: int) ->
     return out
 
 
-def pack_file(keys: np.ndarray, lengths: np.ndarray, words: np.ndarray, escapes: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """The parts of a file."""
+def pack_segment(keys: np.ndarray, lengths: np.ndarray, words: np.ndarray, escapes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """The parts of a segment, led by its length."""
     arrays = [words.astype("<u8"), escapes.astype("<u8"), keys.astype("<i8"), lengths.astype("<i8"), first.astype("<i8")]
     sizes = np.array([*map(len, arrays), int(lengths.sum())], "<i8")
-    return [MAGIC, *(a.tobytes() for a in arrays), sizes.tobytes(), MAGIC]
+    parts = [MAGIC, *(a.tobytes() for a in arrays), sizes.tobytes(), MAGIC]
+    return [np.array(sum(map(len, parts)), "<i8").tobytes(), *parts]
 
 
-def unpack_file(blob: bytes | memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document keys, lengths and all ids of a file; a damaged file is an error."""
+def unpack_segment(blob: bytes | memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document keys, lengths and all ids of a segment (without its leading length); damage is an error."""
     if bytes(blob[:8]) != MAGIC or bytes(blob[-8:]) != MAGIC:
         raise ValueError("not a token-id file")
     sizes = np.frombuffer(blob[-56:-8], "<i8")
@@ -148,7 +150,6 @@ def unpack_file(blob: bytes | memoryview) -> tuple[np.ndarray, np.ndarray, np.nd
 MANIFEST = T.StructType(
     [
         T.StructField("part", T.LongType()),
-        T.StructField("chunk", T.LongType()),
         T.StructField("path", T.StringType()),
         T.StructField("docs", T.LongType()),
         T.StructField("tokens", T.LongType()),
@@ -160,8 +161,8 @@ MANIFEST = T.StructType(
 def write_ids(docs: DataFrame, tokenizer: str, *, keeps_blanks: bool, lower: bool, key: str = "doc_id", text: str = "text", end: int = 1) -> DataFrame:
     """Write token-id files in ascending ``key`` order and return their manifest, with each file's first token.
 
-    Texts are dealt by key ranges and sorted within each; a task writes one file per Arrow batch, under a name of
-    its own attempt.  The manifest is stored, so only files of tasks that ended count, and a repeated task leaves
+    Texts are dealt by key ranges and sorted within each; a task writes one file, under a name of its own
+    attempt.  The manifest is stored, so only files of tasks that ended count, and a repeated task leaves
     at worst an unlisted file.  A null text is empty; a null key is an error; rows of equal key follow each other.
     """
     spark = docs.sparkSession
@@ -173,36 +174,26 @@ def write_ids(docs: DataFrame, tokenizer: str, *, keeps_blanks: bool, lower: boo
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
-        for chunk, batch in enumerate(b for b in batches if len(b)):
-            if batch.column(0).null_count:
-                raise ValueError(f"null {key}")
-            ids, lengths = [], []
-            for _, _, found, bounds in encoder.encode(batch.column(1), end):
-                ids.append(found)
-                lengths.append(np.diff(bounds))
-            lengths = np.concatenate(lengths)
-            words = encode(np.concatenate(ids).astype(np.uint64))
-            name = f"part-{part:06d}-{chunk:06d}-{attempt}.s8b"
-            size = 0
-            with fs.open_output_stream(f"{base}/{name}") as sink:
-                for piece in pack_file(batch.column(0).to_numpy(zero_copy_only=False), lengths, *words):
-                    sink.write(piece)
-                    size += len(piece)
-            row = [part, chunk, f"{folder}/{name}", len(batch), int(lengths.sum()), size]
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=MANIFEST.names)
+        name = f"part-{part:06d}-{attempt}.s8b"
+        docs = tokens = size = 0
+        with fs.open_output_stream(f"{base}/{name}") as sink:
+            for batch in batches:
+                keys = batch.column(0)
+                if keys.null_count:
+                    raise ValueError(f"null {key}")
+                keys = keys.to_numpy(zero_copy_only=False)
+                for row, last, ids, bounds in encoder.encode(batch.column(1), end):
+                    for piece in pack_segment(keys[row:last], np.diff(bounds), *encode(ids.astype(np.uint64))):
+                        sink.write(piece)
+                        size += len(piece)
+                    docs, tokens = docs + last - row, tokens + len(ids)
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (part, f"{folder}/{name}", docs, tokens, size)], names=MANIFEST.names)
 
     ordered = docs.select(F.col(key).cast("long"), F.col(text).cast("string")).repartitionByRange(parts, key).sortWithinPartitions(key)
     manifest = stored(ordered.mapInArrow(run, MANIFEST), "manifest")
-    # a few rows per partition: their running sum gives each part's first token, then each file's within its part
-    of_part = manifest.groupBy("part").agg(F.sum("tokens").alias("__n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = of_part.select(F.col("part").alias("__part"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    return (
-        manifest.join(bases, manifest["part"] == bases["__part"])
-        .withColumn("first_token", F.col("__base") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-        .drop("__part", "__base")
-    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    return manifest.withColumn("first_token", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
 DOCUMENT = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "n_tokens", "ids_crc32")])
@@ -217,14 +208,16 @@ def read_ids(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, place = open_fs(path)
                 with fs.open_input_stream(place) as source:
-                    keys, lengths, ids = unpack_file(memoryview(source.read()))
-                bounds = np.concatenate([[0], np.cumsum(lengths)])
-                narrow = ids.astype("<u4")
-                sums = [zlib.crc32(narrow[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
-                columns = [pa.array(keys), pa.array(bounds[:-1] + base), pa.array(lengths), pa.array(sums, pa.int64())]
-                if with_ids:
-                    columns.append(pa.array([ids[a:b].astype(np.int64) for a, b in zip(bounds[:-1], bounds[1:])], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                    while head := source.read(8):
+                        keys, lengths, ids = unpack_segment(memoryview(source.read(int(np.frombuffer(head, "<i8")[0]))))
+                        bounds = np.concatenate([[0], np.cumsum(lengths)])
+                        narrow = ids.astype("<u4")
+                        sums = [zlib.crc32(narrow[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
+                        columns = [pa.array(keys), pa.array(bounds[:-1] + base), pa.array(lengths), pa.array(sums, pa.int64())]
+                        if with_ids:
+                            columns.append(pa.array([ids[a:b].astype(np.int64) for a, b in zip(bounds[:-1], bounds[1:])], pa.list_(pa.int64())))
+                        base += len(ids)
+                        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     spark = manifest.sparkSession
     files = manifest.select("path", "first_token")

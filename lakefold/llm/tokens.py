@@ -55,6 +55,7 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keeps_blanks, self.lower = Tokenizer.from_file(path), keeps_blanks, lower
+        self.token_bytes: np.ndarray | None = None
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self._forget()
@@ -76,15 +77,58 @@ class UnitEncoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of many units from one text, and how many each has; None if the ids can't be told apart."""
+        if self.keeps_blanks:  # units that begin with a blank: the text's bytes are tiled by its tokens
+            ids = np.array(self._library([b"".join(units).decode("utf-8")])[0], np.uint32)
+            if self.token_bytes is None:
+                vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+                self.token_bytes = np.zeros(max(vocabulary.values()) + 2, np.int64)
+                for token, i in vocabulary.items():
+                    self.token_bytes[i] = len(token)  # a byte-level token has a character for each byte
+            ends = np.cumsum(self.token_bytes[np.minimum(ids, len(self.token_bytes) - 1)])
+            borders = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+            last = np.searchsorted(ends, borders)
+            if not len(ends) or last[-1] >= len(ends) or (ends[last] != borders).any():
+                return None
+            return ids, np.diff(last, prepend=-1)
+        # units without blanks: a control character stands between them
+        mark = self._library(["\x01"])[0]
+        if len(mark) != 1:
+            return None
+        ids = np.array(self._library([" \x01 ".join(u.decode("utf-8") for u in units)])[0], np.uint32)
+        marks = np.flatnonzero(ids == mark[0])
+        if len(marks) != len(units) - 1:
+            return None
+        return ids[ids != mark[0]], np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+
     def _learn(self, units: list[bytes]) -> None:
-        ids = self._library([u.decode("utf-8") for u in units])
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, have = int(lengths.sum()), len(self.places)
+        """Add ``units``, none of which is known; those that can share a text do."""
+        if self.keeps_blanks:
+            together = [u for u in units if BLANKS[u[0]]]
+            alone = [u for u in units if not BLANKS[u[0]]]
+        else:
+            together = [u for u in units if b"\x01" not in u]
+            alone = [u for u in units if b"\x01" in u]
+        for at in range(0, len(together), 20_000):
+            part = together[at : at + 20_000]
+            found = self._joined(part)
+            if found is None:
+                alone += part
+            else:
+                self._add(part, *found)
+        if alone:
+            ids = self._library([u.decode("utf-8") for u in alone])
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._add(alone, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), lengths)
+
+    def _add(self, units: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        total, have = len(ids), len(self.places)
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while have + len(units) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.pool[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.pool[self.used : self.used + total] = ids
         self.starts[have + 1 : have + 1 + len(units)] = self.used + np.cumsum(lengths)
         self.used += total
         self.places.update(zip(units, range(have, have + len(units))))
@@ -116,10 +160,12 @@ class UnitEncoder:
         units = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         if len(self.places) + len(units) > MEMO_UNITS:
             self._forget()
-        unknown = [u for u in units if u not in self.places]
+        known = list(map(self.places.get, units))
+        unknown = [u for u, k in zip(units, known) if k is None]
         if unknown:
             self._learn(unknown)
-        place = np.fromiter((self.places[u] for u in units), np.int64, len(units))[which]
+            known = list(map(self.places.get, units))
+        place = np.array(known, np.int64)[which]
         begin = self.starts[place]
         length = self.starts[place + 1] - begin
         done = np.concatenate([[0], np.cumsum(length)])
