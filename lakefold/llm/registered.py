@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, sharding, simple8b
+from . import decontaminate, fst, packing, sharding, simple8b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,12 @@ def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of all documents, written and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simple8b.read_ids(simple8b.write_ids(docs, tokenizer_path("word_bpe_49k.json"), keeps_blanks=False, lower=True, end=1))
+
+
+@query("op8_count_tokens")
+def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by the compiled transducer."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = fst.count_tokens(docs, tokenizer_path("piece_bpe_32k.model"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
