@@ -60,22 +60,23 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     reach = int(COUNTS.max())
     # a row per block; beyond its end stand zeros, which decoding cuts off
-    grid = np.zeros((blocks, BLOCK + reach), np.uint64)
-    flat = np.zeros(blocks * BLOCK, np.uint64)
+    flat = np.zeros(blocks * BLOCK, ids.dtype)
     flat[:n] = ids
+    grid = np.zeros((blocks, BLOCK + reach), ids.dtype)
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    width = _widths(grid.ravel()).reshape(grid.shape)
-    widest = {1: width}
-    for k in range(2, 9):
-        widest[k] = np.maximum(widest[k - 1][:, :-1], width[:, k - 1 :])
-    for k, (a, b) in {10: (8, 2), 12: (8, 4), 15: (8, 7), 20: (15, 5), 30: (15, 15), 60: (30, 30), 120: (60, 60), 240: (120, 120)}.items():
-        widest[k] = np.maximum(widest[a][:, : grid.shape[1] - k + 1], widest[b][:, a : a + grid.shape[1] - k + 1])
-    selector = np.zeros((blocks, BLOCK), np.uint8)
+    width = np.zeros(grid.shape, np.uint8)
+    width[:, :BLOCK] = _widths(flat).reshape(blocks, BLOCK)
     share = np.cumsum(np.bincount(width[:, :BLOCK].ravel(), minlength=65)) / (blocks * BLOCK)
-    for s in range(15, 0, -1):
-        if BITS[s] < 10 and share[BITS[s]] < 1 / 256:
-            continue  # such runs are too rare here to look for
-        selector[widest[int(COUNTS[s])][:, :BLOCK] <= BITS[s]] = s
+    sought = [s for s in range(15, 0, -1) if BITS[s] >= 10 or share[BITS[s]] >= 1 / 256]  # rarer runs are not looked for
+    span = BLOCK + int(COUNTS[sought].max()) - 1
+    widest, have = width[:, :span], 1
+    selector = np.zeros((blocks, BLOCK), np.uint8)
+    for s in sought:
+        count = int(COUNTS[s])
+        while have < count:
+            more = min(have, count - have)
+            widest, have = np.maximum(widest[:, : widest.shape[1] - more], widest[:, more:]), have + more
+        np.copyto(selector, np.uint8(s), where=widest[:, :BLOCK] <= BITS[s])
     length = np.full(blocks, BLOCK)
     length[-1] = n - BLOCK * (blocks - 1)
     lane, at, steps = np.arange(blocks), np.zeros(blocks, np.int64), []
@@ -84,23 +85,27 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         steps.append((lane, at, chosen))
         at = at + COUNTS[chosen]
         go = at < length[lane]
-        lane, at = lane[go], at[go]
+        if not go.all():
+            lane, at = lane[go], at[go]
     lanes, starts, chosen = (np.concatenate(x) for x in zip(*steps))
-    order = np.lexsort((starts, lanes))
-    lanes, starts, chosen = lanes[order], starts[order], chosen[order]
-    words = chosen.astype(np.uint64) << np.uint64(60)
-    escapes = np.zeros(0, np.uint64)
-    wide = grid.ravel()
+    per_block = np.bincount(lanes, minlength=blocks)
+    first = np.cumsum(per_block) - per_block
+    place = first[lanes] + np.repeat(np.arange(len(steps)), [len(x[0]) for x in steps])  # a block gives one word a step
+    words = np.zeros(len(place), np.uint64)
     base = lanes * grid.shape[1] + starts
-    for s in range(2, 16):
+    wide = grid.ravel()
+    for s in range(1, 16):
         mine = np.flatnonzero(chosen == s)
-        for k in range(COUNTS[s] if len(mine) else 0):
-            words[mine] |= wide[base[mine] + k] << np.uint64(k * BITS[s])
+        if not len(mine):
+            continue
+        word = np.full(len(mine), s << 60, np.uint64)
+        for k in range(COUNTS[s] if BITS[s] else 0):
+            word |= wide[base[mine] + k].astype(np.uint64) << np.uint64(k * BITS[s])
+        words[place[mine]] = word
     mine = np.flatnonzero(chosen == 0)
-    if len(mine):
-        escapes = wide[base[mine]]
-        words[mine] |= np.arange(len(mine), dtype=np.uint64)
-    return words, escapes, np.searchsorted(lanes, np.arange(blocks))
+    mine = mine[np.argsort(place[mine])]
+    words[place[mine]] = np.arange(len(mine), dtype=np.uint64)
+    return words, wide[base[mine]].astype(np.uint64), first
 
 
 def decode(words: np.ndarray, escapes: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
@@ -111,19 +116,19 @@ def decode(words: np.ndarray, escapes: np.ndarray, first: np.ndarray, n: int) ->
     counts = COUNTS[chosen]
     before = np.cumsum(counts) - counts
     block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
-    starts = block * BLOCK + before - before[first][block]
-    ends = np.minimum((block + 1) * BLOCK, n)
-    out = np.zeros(n, np.uint64)
+    stride = BLOCK + int(COUNTS.max())  # the last word of a block may reach beyond its end
+    starts = block * stride + before - before[first][block]
+    out = np.zeros(len(first) * stride, np.uint64)
     for s in range(2, 16):
         mine = np.flatnonzero(chosen == s)
-        mask = np.uint64((1 << int(BITS[s])) - 1)
-        for k in range(COUNTS[s] if len(mine) else 0):
-            to = starts[mine] + k
-            inside = to < ends[mine]
-            out[to[inside]] = (words[mine[inside]] >> np.uint64(k * BITS[s])) & mask
+        if not len(mine):
+            continue
+        mask, word, to = np.uint64((1 << int(BITS[s])) - 1), words[mine], starts[mine]
+        for k in range(COUNTS[s]):
+            out[to + k] = (word >> np.uint64(k * BITS[s])) & mask
     mine = np.flatnonzero(chosen == 0)
     out[starts[mine]] = escapes[(words[mine] & np.uint64((1 << 60) - 1)).astype(np.int64)]
-    return out
+    return out.reshape(len(first), stride)[:, :BLOCK].ravel()[:n]
 
 
 def pack_segment(keys: np.ndarray, lengths: np.ndarray, words: np.ndarray, escapes: np.ndarray, first: np.ndarray) -> list[bytes]:
@@ -183,7 +188,7 @@ def write_ids(docs: DataFrame, tokenizer: str, *, keeps_blanks: bool, lower: boo
                     raise ValueError(f"null {key}")
                 keys = keys.to_numpy(zero_copy_only=False)
                 for row, last, ids, bounds in encoder.encode(batch.column(1), end):
-                    for piece in pack_segment(keys[row:last], np.diff(bounds), *encode(ids.astype(np.uint64))):
+                    for piece in pack_segment(keys[row:last], np.diff(bounds), *encode(ids)):
                         sink.write(piece)
                         size += len(piece)
                     docs, tokens = docs + last - row, tokens + len(ids)

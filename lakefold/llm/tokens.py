@@ -18,7 +18,8 @@ import pyarrow.compute as pc
 
 from .words import BLANKS, LOWER, buffers, slices, span_hashes
 
-MEMO_UNITS = 1_000_000
+MEMO_UNITS = 1_500_000
+SLICE = 4 << 20
 
 #: Unicode white space beyond ASCII (fixed values), and the start of special tokens.
 _WHOLE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|<\|"
@@ -169,14 +170,14 @@ class UnitEncoder:
         begin = self.starts[place]
         length = self.starts[place + 1] - begin
         done = np.concatenate([[0], np.cumsum(length)])
-        ids = self.pool[np.repeat(begin - done[:-1], length) + np.arange(done[-1])]
+        ids = self.pool[np.repeat((begin - done[:-1]).astype(np.int32), length) + np.arange(done[-1], dtype=np.int32)]
         return ids, done[first]
 
     def encode(self, column: pa.Array, end: int | None = None):
         """Per slice of rows: ``(row, last row, ids, offsets)``; ``end`` is appended to every row."""
         data, offsets = buffers(column)
         whole = pc.fill_null(pc.match_substring_regex(column, _WHOLE), False).to_numpy(zero_copy_only=False)
-        for row, last in slices(offsets):
+        for row, last in slices(offsets, SLICE):
             part, local = data[offsets[row] : offsets[last]], offsets[row : last + 1] - offsets[row]
             if whole[row:last].any():
                 pieces, sizes = [], []
