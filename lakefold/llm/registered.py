@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fst, packing, sharding, simple8b
+from . import decontaminate, fst, packing, quality, sharding, simple8b, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,28 @@ def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = fst.count_tokens(docs, tokenizer_path("piece_bpe_32k.model"))
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query(
+    "op3_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') html FROM pages),
+    h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) payload_bytes, sha1(html) payload_digest FROM p),
+    g AS (SELECT payload_digest, max(page_id) top FROM h WHERE payload_bytes >= 1000 GROUP BY 1)
+    SELECT h.page_id, h.payload_bytes, h.payload_digest,
+           CASE WHEN g.top > h.page_id THEN 'revisit' ELSE 'response' END record_type,
+           CASE WHEN g.top > h.page_id THEN g.top END refers_to
+    FROM h LEFT JOIN g ON g.payload_digest = h.payload_digest AND h.payload_bytes >= 1000
+    """,
+)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as deduplicated archives and read back."""
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=1000)
+    return warc.read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and log-likelihood ratio of every document."""
+    scored = quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
