@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fst, packing, quality, sharding, simple8b, warc
+from . import decontaminate, fst, packing, quality, sharding, simple8b, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,16 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and log-likelihood ratio of every document."""
     scored = quality.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def _fourth(key: str = "doc_id"):
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 4
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels").where(_fourth() != 2))
+    scored = toxicity.score_texts(docs, lexicon)
+    return scored.select("doc_id", (_fourth() == 2).alias("held_out"), "toxicity.score", F.when(F.col("toxicity.score") >= toxicity.CUT, 1).otherwise(0).alias("predicted"))
