@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stored
 from .words import buffers, slices
 
 FIT_ROWS = 20_000
@@ -187,15 +188,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     sample = rows.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)  # bounded: two numbers a row
     texts = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), F.col("__key") == F.col("__id"))
     texts = texts.groupBy(F.md5("text").alias("h")).agg(F.first("text").alias("text"), F.max("__label").cast("long").alias("label")).drop("h")
+    texts = stored(texts, "toxicity-sample")  # at most fit_rows texts, read several times
     counted = texts.mapInArrow(_candidates, "word string, docs long, toxic long, clean long").groupBy("word").agg(F.sum("docs").alias("t"), F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     total = counted.where(F.col("word") == _EVERY).first()
     if total is None or not total.a or not total.b:
         return Lexicon()
     # how much more often the entry stands in toxic than in clean text, for entries of a hundredth of the toxic texts
     odds = F.log((F.col("a") + 0.5) / float(total.a)) - F.log((F.col("b") + 0.5) / float(total.b))
-    chosen = counted.where((F.col("t") >= max(3, total.t // 100)) & (F.col("word") != _EVERY)).withColumn("w", odds).where(F.col("w") >= LEAST_ODDS).orderBy(F.desc(F.col("w") * F.col("t")), "word").limit(4 * entries)
+    chosen = counted.where((F.col("t") >= max(4, total.t // 100)) & (F.col("word") != _EVERY)).withColumn("w", odds).where(F.col("w") >= LEAST_ODDS).orderBy(F.desc(F.col("w") * F.col("t")), "word").limit(4 * entries)
     weights = {r.word: r.w for r in chosen.collect()}
-    lexicon = Lexicon(_telling(texts, weights, entries, max(3, total.t // 100)), tuple(fold_text(e).strip() for e in exceptions))
+    lexicon = Lexicon(_telling(texts, weights, entries, max(4, total.t // 100)), tuple(fold_text(e).strip() for e in exceptions))
     lexicon.exceptions += _learned_exceptions(texts, lexicon)
     scored = score_texts(texts, Lexicon(lexicon.entries, lexicon.exceptions, 1.0)).select("label", "toxicity.score").collect()
     lexicon.constant = _constant([(s / (1 - s), y == 1) for y, s in scored])
