@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fst, packing, quality, sharding, simple8b, toxicity, warc
+from . import decontaminate, fst, packing, quality, sharding, simple8b, suffix_tree, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels").where(_fourth() != 2))
     scored = toxicity.score_texts(docs, lexicon)
     return scored.select("doc_id", (_fourth() == 2).alias("held_out"), "toxicity.score", F.when(F.col("toxicity.score") >= toxicity.CUT, 1).otherwise(0).alias("predicted"))
+
+
+@query("op10_suffix_tree")
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and suffix-tree score of every document."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    scored = suffix_tree.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
