@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fst, packing, quality, sharding, simple8b, suffix_tree, toxicity, warc
+from . import decontaminate, fst, minhash, packing, quality, sharding, simple8b, suffix_tree, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +147,9 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
     scored = suffix_tree.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op5_near_duplicates")
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies that each document belongs to."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
