@@ -9,10 +9,13 @@ ones share bins.
 Improved consistent weighted sampling draws per hash function the shingle with the least ``ln c - r (t - b) - r``,
 ``t = floor(ln w / r + b)``; its variates come from fixed tables, addressed by a keyed hash of the shingle.
 Signatures are cut into bands.  Texts with equal words are collapsed first.  In each bucket every member is compared
-with the bucket's first text; after the components of these links are known, only members of different components of
-a bucket are compared with each other, so no link between candidates is missed and groups of copies are not expanded
-into pairs.  Pairs whose signatures agree are verified by the exact weighted Jaccard similarity of their texts.
-Classes are the components of the verified links.
+with the most central text, that whose buckets are largest over all bands.  Then, where members of a bucket are
+still in different components, buckets of up to ``SMALL`` texts compare all members of different components; in
+larger ones each member outside the central text's component is compared with ``LEADERS`` central texts of the
+bucket, in two rounds with other leaders.  So the pairs grow with the members and not with their square, and a text
+of a large group meets up to ``1 + 2 * LEADERS`` others in each of its bands before it is left apart.  Pairs whose
+signatures agree are verified by the exact weighted Jaccard similarity of their texts.  Classes are the components of
+the verified links.
 
 Defined results: null and empty texts are each a class of their own; texts without words are alike if their bytes are
 equal; repeated rows share their class; a row with a null id is never looked up again, so only exact copies join it.
@@ -35,6 +38,7 @@ from .words import NOT_ALNUM, Words, buffers, mix, per_row, slices, span_hashes
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 13, 3
+SMALL, LEADERS = 32, 8
 IDF_BITS = 16
 _TABLE_BITS = 16
 _GRAIN = 64  # weights are multiples of 1 / 64, so equal shingles weigh the same to the last bit
@@ -262,8 +266,16 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     alike = stored(alike, "alike")
     nodes = signed.join(alike.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", F.col(key).alias("key"), "print", "weight", "signature", "bands")
     members = stored(nodes.select("rid", F.explode("bands").alias("band")), "bands")
-    buckets = members.groupBy("band").agg(F.min("rid").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    members = stored(members.join(buckets, "band").select("band", "leader", "size", "rid"), "buckets")
+    sizes = members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    members = stored(members.join(sizes, "band"), "buckets")
+    central = members.groupBy("rid").agg(F.sum("size").alias("central"))
+    members = stored(members.join(central, "rid").select("band", "size", "rid", "central"), "members")
+
+    def leaders(of: DataFrame, salt: int) -> DataFrame:
+        """Up to LEADERS central members of each bucket: the first of each of as many random parts."""
+        part = F.pmod(F.xxhash64("rid", F.lit(salt)), F.lit(LEADERS))
+        best = of.groupBy("band", part.alias("part")).agg(F.max(F.struct("central", (-F.col("rid")).alias("r"))).alias("m"))
+        return best.select("band", "m.central", (-F.col("m.r")).alias("leader"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         near = stored(_agreeing(pairs, nodes, bands * rows, similarity), "candidates")
@@ -271,18 +283,30 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         found = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(wanted, "key", "left_semi")
         return stored(verified(near, stored(found, "texts"), idf, docs.schema[key].dataType, similarity), "links")
 
-    links = linked(members.where("rid <> leader").select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct())
+    first = stored(leaders(members, 0).groupBy("band").agg(F.max_by("leader", F.struct("central", -F.col("leader"))).alias("leader")), "leaders")
+    star = members.join(first, "band").where("rid <> leader")
+    links = linked(star.select(F.least("leader", "rid").alias("a"), F.greatest("leader", "rid").alias("b")).distinct())
     roots = components(links)
-    # members of a bucket that are still in different components and not its first: compare them with each other
-    placed = members.where("size > 2").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    mixed = placed.where("rid <> leader").groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    rest = stored(placed.where("rid <> leader").join(mixed, "band", "left_semi").select("band", "rid", "root"), "rest")
-    if rest.limit(1).count():
-        other = rest.select("band", F.col("rid").alias("b"), F.col("root").alias("other"))
-        pairs = rest.withColumnRenamed("rid", "a").join(other, "band").where("a < b AND root <> other").select("a", "b").distinct()
-        more = linked(pairs)
-        if more.limit(1).count():
-            roots = components(links.union(more))
+    for salt in (1, 2):
+        placed = members.where("size > 2").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+        rest = stored(placed.join(mixed, "band", "left_semi"), "rest")
+        if not rest.limit(1).count():
+            break
+        head = first.join(rest.select(F.col("rid").alias("leader"), "band", F.col("root").alias("head")), ["band", "leader"])
+        apart = rest.join(head, "band").where("root <> head")
+        large = leaders(rest.where(F.col("size") > SMALL), salt).join(rest.select("band", F.col("rid").alias("leader"), F.col("root").alias("other")), ["band", "leader"])
+        pairs = apart.join(large.select("band", F.col("leader").alias("b"), "other"), "band").where("root <> other AND rid <> b").select(F.col("rid").alias("a"), "b")
+        if salt == 1:
+            few = rest.where(F.col("size") <= SMALL)
+            other = few.select("band", F.col("rid").alias("b"), F.col("root").alias("other"))
+            pairs = pairs.union(few.select("band", F.col("rid").alias("a"), "root").join(other, "band").where("a < b AND root <> other").select("a", "b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = linked(pairs.join(links.select("a", "b"), ["a", "b"], "left_anti"))
+        if not more.limit(1).count():
+            break
+        links = stored(links.union(more), "links")
+        roots = components(links)
     row = signed.select("rid", F.col(key), "print", "check").join(alike.select("print", "check", "rep"), ["print", "check"], "left")
     row = row.join(roots.select(F.col("rid").alias("rep"), "root"), "rep", "left").select(key, F.coalesce("root", "rep", "rid").alias("class"))
     row = stored(row, "classes")
