@@ -16,11 +16,11 @@ _LITERAL = "\\s*(\\((?:[^()\\\\]|\\\\.)*+\\))"
 
 
 def pdf_profile(content: Column) -> Column:
-    """valid, version, encrypted, size: header and trailer only."""
+    """valid, version, encrypted, size; a trailer or a cross-reference stream anywhere in the file counts."""
     size = F.octet_length(content)
-    head = latin1(F.substring(content, 1, 1024))
-    tail = latin1(F.substring(content, F.greatest(size - 2047, F.lit(1)), F.lit(2048)))
-    trailer = F.regexp_extract(tail, "(?s)trailer\\s*<<(.*)>>", 1)
+    text = latin1(content)
+    head = F.regexp_extract(text, "(?s)\\A.*?(%PDF-\\d+\\.\\d+)", 1)
+    trailer = _trailer(text)
     return F.struct(
         F.coalesce(F.startswith(content, F.unhex(F.lit("25504446"))), F.lit(False)).alias("valid"),
         F.coalesce(F.nullif(F.regexp_extract(head, "%PDF-(\\d+\\.\\d+)", 1), F.lit("")), F.lit("1.4")).alias("version"),
@@ -29,6 +29,13 @@ def pdf_profile(content: Column) -> Column:
     )
 
 
+def _trailer(text: Column) -> Column:
+    """Text of the dictionaries of all trailers and cross-reference streams, the newest last."""
+    tables = F.regexp_extract_all(text, F.lit("(?s)\\btrailer\\s*<<(.*?)(?:startxref|\\z)"), F.lit(1))
+    streams = F.regexp_extract_all(text, F.lit("(?s)\\bobj\\s*(<<(?:(?!\\bstream\\b|\\bendobj\\b).)*+)"), F.lit(1))
+    return F.array_join(F.concat(F.filter(streams, lambda d: d.rlike("/Type\\s*/XRef\\b")), tables), "\n")
+
+
 def _pages(objects: DataFrame) -> DataFrame:
     return objects.filter("page_no IS NOT NULL")
 
@@ -105,8 +112,8 @@ _INFO = [("Title", "title"), ("Author", "author"), ("Subject", "subject"), ("Key
 
 def pdf_info(files: DataFrame, objects: DataFrame) -> DataFrame:
     """Information dictionary and page count per file; empty strings where nothing is stated."""
-    tail = latin1(F.substring(F.col("content"), F.greatest(F.octet_length("content") - 2047, F.lit(1)), F.lit(2048)))
-    refs = files.select("path", F.regexp_extract(tail, "(?s)/Info\\s+(\\d+)\\s+\\d+\\s+R", 1).try_cast("int").alias("obj_no"))
+    named = F.regexp_extract_all(_trailer(latin1(F.col("content"))), F.lit("/Info\\s+(\\d+)\\s+\\d+\\s+R"), F.lit(1))
+    refs = files.select("path", F.element_at(F.when(F.size(named) > 0, named), -1).try_cast("int").alias("obj_no"))
     info = refs.join(objects.select("path", "obj_no", "body"), ["path", "obj_no"], "left")
     counts = objects.groupBy("path").agg(F.count("page_no").alias("page_count"))
     return info.join(counts, "path").select(

@@ -105,7 +105,7 @@ _FILES_SQL = f"SELECT name || '.parquet' AS name, 'parquet' AS ext, '50415231' A
 @query("scan_files", f"{_FILES_SQL}")
 def scan_files(spark, sf):
     """The table files themselves, scanned as bytes."""
-    files = SF.scan_files(spark, sf, glob="*.parquet", max_size=R.SIZE_LIMIT)
+    files = SF.scan_files(spark, sf, glob="*.parquet")
     return files.select(SF.file_name(F.col("path")).alias("name"), S.file_ext(F.col("path")).alias("ext"),
                         F.hex(D.file_header(F.col("content"), 4)).alias("magic"))
 

@@ -186,12 +186,12 @@ def throttle_stream(spark, sf):
 @query(
     "delivered_events_stream",
     f"""
-    WITH {_SUBS} SELECT sub_id, event_id FROM events e JOIN s ON e.event_type = s.event AND e.ts >= on_ts AND e.ts < off_ts
+    WITH {_SUBS} SELECT sub_id, event_id FROM events e JOIN s ON e.event_type = s.event AND e.ts >= on_ts AND (off_ts IS NULL OR e.ts < off_ts)
     """,
 )
 def delivered_events_stream(spark, sf):
     points = _stream(spark, sf).select("event_id", "ts", F.col("event_type").alias("event"))
-    out = SE.run_available(SE.delivered_events_stream(points, _subscriptions(_stream(spark, sf)).filter("off_ts IS NOT NULL")))
+    out = SE.run_available(SE.delivered_events_stream(points, _subscriptions(_stream(spark, sf))))
     return out.select("sub_id", "event_id")
 
 

@@ -164,13 +164,14 @@ def csv_to_maps(spark, sf):
     "csv_profile",
     """
     SELECT doc_id, len([x for x in string_split(text, chr(10)) if regexp_matches(x, '\\S')]) AS estimated_rows,
-           len(string_split([x for x in string_split(text, chr(10)) if regexp_matches(x, '\\S')][1], ';')) AS estimated_columns,
+           len(string_split(regexp_replace(regexp_replace([x for x in string_split(text, chr(10)) if regexp_matches(x, '\\S')][1],
+             '"[^"]*"', '', 'g'), '".*$', ''), ';')) AS estimated_columns,
            strlen(text) AS size, ';' AS delimiter, true AS has_header
-    FROM documents WHERE NOT contains(text, '"')
+    FROM documents
     """,
 )
 def csv_profile(spark, sf):
-    docs = table(spark, sf, "documents").filter(~F.contains("text", F.lit('"')))
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", C.csv_profile(F.col("text"), C.CsvOptions(delimiter=";")).alias("p")).select("doc_id", "p.*")
 
 

@@ -42,7 +42,12 @@ def entry_name(info: zipfile.ZipInfo) -> str:
     """Entry name as UTF-8, else GBK, else Latin-1, unless the archive declares UTF-8."""
     if info.flag_bits & 0x800:
         return info.filename
-    raw = info.filename.encode("cp437")
+    try:  # the name as stored; the library may already have replaced it by a Unicode path field
+        raw = info.orig_filename.encode("cp437")
+    except UnicodeEncodeError:
+        return info.filename
+    if info.filename != info.orig_filename and "\0" not in info.orig_filename:
+        return info.filename
     for charset in ("utf-8", "gbk"):
         try:
             return raw.decode(charset)

@@ -34,7 +34,7 @@ def _boxes(path: str, data: bytes | None) -> Iterator[tuple]:
             yield (path, number, depth, None, None, at, size, None, "box size out of range")
             continue
         track += kind == b"trak"
-        payload = data[at + header:at + min(size, header + 128)] if kind in _KEPT else None
+        payload = data[at + header:at + size] if kind in _KEPT else None
         yield (path, number, depth, track or None, kind.decode("latin-1"), at, size, payload, None)
         number += 1
         stack.append((at + size, end, depth))
@@ -43,7 +43,7 @@ def _boxes(path: str, data: bytes | None) -> Iterator[tuple]:
 
 
 def mp4_boxes(files: DataFrame) -> DataFrame:
-    """Boxes in file order with depth and track number; header boxes keep their first payload bytes."""
+    """Boxes in file order with depth and track number; header boxes keep their payload."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for path, content in _files(batches):

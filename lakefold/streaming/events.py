@@ -87,12 +87,18 @@ def debounce_stream(events: DataFrame, keys: list[str], ts: str, order_id: str,
     )
 
 
-def delivered_events_stream(events: DataFrame, subscriptions: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Stream-stream interval join; both sides are bounded by their watermarks."""
+def delivered_events_stream(events: DataFrame, subscriptions: DataFrame, watermark: str = WATERMARK, longest: str | None = None) -> DataFrame:
+    """Stream-stream interval join; a null ``off_ts`` is still open.
+
+    Without ``longest`` no subscription ends by itself, so the state keeps all of them.  With ``longest``, an interval
+    such as ``"30 days"``, the caller states that no subscription is active for longer: later events are not delivered
+    to it, and the state drops it once the watermark has passed that time.
+    """
     e = events.withWatermark("ts", watermark).alias("e")
     s = subscriptions.withWatermark("on_ts", watermark).alias("s")
-    within = F.expr("e.event = s.event AND e.ts >= s.on_ts AND e.ts < s.off_ts AND e.ts < s.on_ts + INTERVAL 1 DAY")
-    return e.join(s, within).drop(F.col("s.event"))
+    within = "e.event = s.event AND e.ts >= s.on_ts AND (s.off_ts IS NULL OR e.ts < s.off_ts)"
+    bound = f" AND e.ts < s.on_ts + INTERVAL {longest}" if longest else ""
+    return e.join(s, F.expr(within + bound)).drop(F.col("s.event"))
 
 
 class _LastValue(StatefulProcessor):
