@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _WINDOW_BASE = 0xC2B2AE3D27D4EB4F
@@ -40,7 +40,7 @@ def powers(base: int, n: int) -> np.ndarray:
         factors = np.full(size, base, np.uint64)
         factors[0] = 1
         have = np.cumprod(factors, dtype=np.uint64)
-        if size <= (2 * SLICE_BYTES):  # longer ones serve a single giant text
+        if size <= 2 * SLICE_BYTES:  # longer ones serve a single giant text
             _powers[base] = have
     return have
 
