@@ -50,20 +50,21 @@ class UnitEncoder:
     lower case.
     """
 
-    def __init__(self, path: str, keeps_blanks: bool, lower: bool = False):
+    def __init__(self, path: str, keeps_blanks: bool, lower: bool = False, memo_units: int = MEMO_UNITS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keeps_blanks, self.lower = Tokenizer.from_file(path), keeps_blanks, lower
+        self.memo_units = memo_units
         self.token_bytes: np.ndarray | None = None
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self._forget()
 
     @classmethod
-    def of(cls, path: str, keeps_blanks: bool, lower: bool = False) -> UnitEncoder:
+    def of(cls, path: str, keeps_blanks: bool, lower: bool = False, memo_units: int = MEMO_UNITS) -> UnitEncoder:
         """The worker's encoder for ``path``."""
-        key = (path, keeps_blanks, lower)
+        key = (path, keeps_blanks, lower, memo_units)
         if key not in _encoders:
             _encoders[key] = cls(*key)
         return _encoders[key]
@@ -158,7 +159,7 @@ class UnitEncoder:
         _, at, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
         units = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-        if len(self.places) + len(units) > MEMO_UNITS:
+        if len(self.places) + len(units) > self.memo_units:
             self._forget()
         known = list(map(self.places.get, units))
         unknown = [u for u, k in zip(units, known) if k is None]
