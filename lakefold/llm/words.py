@@ -7,7 +7,6 @@ modulo 2**64, taken from prefix sums, shifted to the span's start by inverse pow
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +18,6 @@ SLICE_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
 _WINDOW_BASE = 0xC2B2AE3D27D4EB4F
 _INVERSE, _WINDOW_INVERSE = pow(_BASE, -1, 1 << 64), pow(_WINDOW_BASE, -1, 1 << 64)
-try:
-    _libc = ctypes.CDLL("libc.so.6")
-except OSError:  # another C library
-    _libc = None
 _powers: dict[int, np.ndarray] = {}
 
 #: Bytes that separate words: space and the controls from tab to carriage return.
@@ -85,10 +80,8 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 
 def give_back() -> None:
-    """Return freed memory to the system after a batch: a reused worker would otherwise keep its peak."""
+    """Return Arrow's freed memory to the system after a batch: a reused worker would otherwise keep its peak."""
     pa.default_memory_pool().release_unused()
-    if _libc is not None:
-        _libc.malloc_trim(0)
 
 
 class Words:
