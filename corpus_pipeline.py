@@ -38,7 +38,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the token sequences that training reads."""
-    return packing.pack_texts(docs, tokenizer_path("byte_bpe_50k.json"), end=0, capacity=1024, memo_units=400_000)
+    return packing.pack_texts(docs, tokenizer_path("byte_bpe_50k.json"), end=0, capacity=1024, memo_units=400_000, keep_memo=False)
 
 
 STAGES = [

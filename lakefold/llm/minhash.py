@@ -43,6 +43,7 @@ IDF_BITS = 16
 _TABLE_BITS = 16
 _GRAIN = 64  # weights are multiples of 1 / 64, so equal shingles weigh the same to the last bit
 _CHUNK = 1 << 16
+_SLICE = 1 << 20  # bytes of text taken at once
 
 _variates: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -119,7 +120,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
         for batch in batches:
             data, offsets = buffers(batch.column(0))
             rows += len(batch)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, _SLICE):
                 words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], NOT_ALNUM)
                 bins = (words.hashes() >> np.uint64(64 - IDF_BITS)).astype(np.int64)
                 total += np.bincount(np.unique((words.rows << IDF_BITS) | bins) & ((1 << IDF_BITS) - 1), minlength=1 << IDF_BITS)
@@ -153,7 +154,7 @@ def sign(docs: DataFrame, idf, key: str, text: str, bands: int = BANDS, rows: in
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, _SLICE):
                 part, local = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 shingles = Shingles(part, local, idf.value)
                 prints = fingerprints(shingles.words)
@@ -204,7 +205,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, key_type: T.DataType, simi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = sum(np.diff(buffers(batch.column(c))[1]) for c in (4, 5))
-            for at, end in slices(np.concatenate([[0], np.cumsum(sizes)])):
+            for at, end in slices(np.concatenate([[0], np.cumsum(sizes)]), _SLICE):
                 part = batch.slice(at, end - at)
                 one, two = (Shingles(*buffers(part.column(c)), idf.value) for c in (4, 5))
                 same = np.ones(len(part), bool)

@@ -101,16 +101,17 @@ PIECE = T.StructType(
 )
 
 
-def pack_texts(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end: int = 0, capacity: int = CAPACITY, max_segments: int = CAPACITY, buffer: int = BUFFER, memo_units: int = MEMO_UNITS) -> DataFrame:
+def pack_texts(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end: int = 0, capacity: int = CAPACITY, max_segments: int = CAPACITY, buffer: int = BUFFER, memo_units: int = MEMO_UNITS, keep_memo: bool = True) -> DataFrame:
     """Tokenise texts, append ``end`` and pack all tokens: one row per piece.
 
     Columns: ``key``, start, length, ids (little-endian unsigned 32 bit), doc_tokens, sequence_id, offset.
-    A document gives whole sequences first; its remainder is packed with those of other documents.  ``memo_units`` bounds the worker's memo of encoded units.
+    A document gives whole sequences first; its remainder is packed with those of other documents.  ``memo_units`` bounds the memo of encoded
+    units; without ``keep_memo`` it ends with the task, which costs time but leaves the worker small for other stages.
     """
     schema = T.StructType([docs.schema[key], *PIECE.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder.of(tokenizer, keeps_blanks=True, memo_units=memo_units)
+        encoder = (UnitEncoder.of if keep_memo else UnitEncoder)(tokenizer, True, False, memo_units)
         sequence = TaskContext.get().partitionId() << 40
         out: list[tuple] = []
         waiting: list[tuple] = []  # key, start, ids, tokens of the document
