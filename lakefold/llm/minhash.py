@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import small_batches, stored
 from .words import NOT_ALNUM, Words, buffers, mix, per_row, slices, span_hashes
 
 WIDTH = 5
@@ -127,7 +127,9 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], rows))], names=["bin", "n"])
 
-    counted = docs.select(F.col(text).cast("string")).mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    counts = docs.select(F.col(text).cast("string")).mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    with small_batches(docs.sparkSession):
+        counted = counts.toArrow()
     bins, n = counted["bin"].to_numpy(), counted["n"].to_numpy()  # at most 2 ** IDF_BITS + 1 rows
     documents = int(n[bins < 0].sum())
     frequency = np.zeros(1 << IDF_BITS)
