@@ -58,8 +58,18 @@ def is_tiff_any(content: Column) -> Column:
 
 
 def ebml_doctype(content: Column) -> Column:
-    """webm or matroska named in the first 100 bytes (the EBML header), else unknown."""
-    head = latin1(F.substring(content, 1, 100))
+    """webm or matroska named in the EBML header, else unknown.
+
+    The header's length follows its mark, in one to eight bytes, the first of which tells how many by its
+    leading zero bits; without a mark, or where the length is left open, the first 100 bytes are taken.
+    """
+    first = F.conv(hex_magic(content, 4, 1), 16, 10).cast("int")
+    bytes_of = F.lit(9) - F.length(F.bin(F.when(first > 0, first)))
+    limit = F.pow(F.lit(2.0), 7 * bytes_of).cast("bigint")
+    size = F.conv(F.hex(F.substring(content, F.lit(5), bytes_of)), 16, 10).try_cast("bigint") - limit
+    known = (hex_magic(content, 0, 4) == "1A45DFA3") & (size < limit - 1)
+    end = F.when(known, F.least(4 + bytes_of + size, F.octet_length(content)).cast("int"))
+    head = latin1(F.substring(content, F.lit(1), F.coalesce(F.greatest(end, F.lit(100)), F.lit(100))))
     return F.when(F.contains(head, F.lit("webm")), "webm").when(F.contains(head, F.lit("matroska")), "mkv").otherwise("unknown")
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html as markup
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What the sanitiser lets through and what it removes with its content.
 ALLOWED_TAGS = [
@@ -13,17 +17,29 @@ ALLOWED_TAGS = [
 ALLOWED_ATTRIBUTES = ["href", "title", "src", "alt", "class", "id", "style"]
 FORBIDDEN_TAGS = ["script", "style", "iframe", "object", "embed"]
 
-# Named character references unescaped in text, the ampersand last.
+# Frequent character references, resolved without Python; the ampersand last.
 _ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", "\u00a0"),
     ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"),
 ]
 
 
+@F.pandas_udf(StringType())
+def _unescape_all(text: pd.Series) -> pd.Series:
+    return text.map(markup.unescape, na_action="ignore")
+
+
 def html_unescape(text: Column) -> Column:
+    """Character references of HTML, named and numeric, each resolved once.
+
+    Texts with no others than the frequent ones stay in the JVM; only the rest goes to Python.
+    """
+    names = "|".join(entity[1:-1] for entity, _ in _ENTITIES)
+    other = text.rlike(f"&(?!(?:{names});)[#a-zA-Z]")
+    plain = text
     for entity, char in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.when(other, _unescape_all(F.when(other, text))).otherwise(plain)
 
 
 def html_title(html: Column) -> Column:

@@ -88,9 +88,15 @@ def svg_size(svg: Column) -> Column:
 
 
 def webp_animated(content: Column) -> Column:
-    """Whether an animation chunk is named in the leading chunks of a WebP file."""
+    """Whether the extended header's animation flag is set, or an animation chunk stands in the leading bytes.
+
+    Other chunks, such as a colour profile of any length, may stand before the animation chunk.
+    """
     webp = begins(content, "52494646") & (hex_magic(content, 8, 4) == "57454250")
-    return F.coalesce(webp & latin1(F.substring(content, 13, 88)).rlike("ANIM|ANMF"), F.lit(False))
+    flags = F.conv(hex_magic(content, 20, 1), 16, 10).cast("int")
+    flagged = (hex_magic(content, 12, 4) == "56503858") & (flags.bitwiseAND(F.lit(2)) == 2)
+    named = latin1(F.substring(content, 13, 88)).rlike("ANIM|ANMF")
+    return F.coalesce(webp & (F.coalesce(flagged, F.lit(False)) | named), F.lit(False))
 
 
 @F.pandas_udf(StructType([StructField("width", LongType()), StructField("height", LongType())]))

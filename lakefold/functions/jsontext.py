@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import BooleanType, IntegerType, StringType
 
 from .arrays import let, prefix_sums
 
@@ -15,17 +16,68 @@ from .arrays import let, prefix_sums
 STRING_LITERAL = '"(?:[^"\\\\]|\\\\.)*+"'
 TOKEN = STRING_LITERAL + "|[{}\\[\\]:,]|[^\\s{}\\[\\]:,\"]++"
 
+# A text nested more deeply than the readers allow holds this many opening brackets; a longer one may hold a longer string.
+_OPEN, _LONG = 900, 20_000_000
+_DEEP = f"(?s)^(?:[^{{\\[]*+[{{\\[]){{{_OPEN}}}"
+
+_SCALAR = re.compile(r'-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null', re.ASCII)
+_QUOTED = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"')
+_BLANK = re.compile(r"[ \t\r\n]*+")
+
+
+def _first_error(text: str) -> int | None:
+    """Where a text stops being one JSON value, None if it is one; open brackets are kept in a list, so any depth goes."""
+    open_brackets: list[str] = []
+    at, wanted = 0, "value"
+    while True:
+        at = _BLANK.match(text, at).end()
+        if wanted == "end" and not open_brackets:
+            return None if at == len(text) else at
+        mark = text[at : at + 1]
+        if wanted in ("value", "first") and mark in ("{", "["):
+            open_brackets.append(mark)
+            at, wanted = at + 1, "first key" if mark == "{" else "first"
+        elif open_brackets and mark == ("}" if open_brackets[-1] == "{" else "]") and wanted in ("end", "first", "first key"):
+            open_brackets.pop()
+            at, wanted = at + 1, "end"
+        elif wanted == "end":
+            if mark != ",":
+                return at
+            at, wanted = at + 1, "key" if open_brackets[-1] == "{" else "value"
+        elif wanted in ("key", "first key"):
+            found = _QUOTED.match(text, at)
+            if not found:
+                return at
+            at = _BLANK.match(text, found.end()).end()
+            if text[at : at + 1] != ":":
+                return at
+            at, wanted = at + 1, "value"
+        else:
+            found = _QUOTED.match(text, at) or _SCALAR.match(text, at)
+            if not found:
+                return at
+            at, wanted = found.end(), "end"
+
+
+@F.pandas_udf(BooleanType())
+def _valid_beyond(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: _first_error(t) is None, na_action="ignore").astype(object)
+
 
 def is_valid_json(text: Column) -> Column:
     """Whether the text is exactly one JSON value.
 
     The JSON readers stop after the first value and so accept trailing text.  A text that parses
-    both as an object member and as an array element can only be one complete value.
+    both as an object member and as an array element can only be one complete value.  They also refuse
+    texts nested deeper than 1,000 levels or with strings over 20 million characters; texts that could
+    have either are checked in Python, so depth and length have no limit.
     """
     options = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "_bad"}
     member = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v STRING, _bad STRING", options)
     element = F.from_json(F.concat(F.lit('{"v":['), text, F.lit("]}")), "v ARRAY<STRING>, _bad STRING", options)
-    return F.coalesce(text.isNotNull() & member["_bad"].isNull() & element["_bad"].isNull(), F.lit(False))
+    native = text.isNotNull() & member["_bad"].isNull() & element["_bad"].isNull()
+    beyond = text.rlike(_DEEP) | (F.length(text) >= _LONG)
+    return F.coalesce(F.when(beyond, _valid_beyond(F.when(beyond, text))).otherwise(native), F.lit(False))
 
 
 def json_tokens(text: Column) -> Column:
@@ -129,6 +181,8 @@ def _error_position(text: pd.Series) -> pd.Series:
             json.loads(t)
         except json.JSONDecodeError as err:
             return err.pos
+        except RecursionError:
+            return _first_error(t)
         return None
 
     return text.map(one).astype("Int32")
