@@ -10,12 +10,11 @@ Improved consistent weighted sampling draws per hash function the shingle with t
 ``t = floor(ln w / r + b)``; its variates come from fixed tables, addressed by a keyed hash of the shingle.
 Signatures are cut into bands.  Texts with equal words are collapsed first.  In each bucket every member is compared
 with the most central text, that whose buckets are largest over all bands.  Then, where members of a bucket are
-still in different components, buckets of up to ``SMALL`` texts compare all members of different components; in
-larger ones each member outside the central text's component is compared with ``LEADERS`` central texts of the
-bucket, in two rounds with other leaders.  So the pairs grow with the members and not with their square, and a text
-of a large group meets up to ``1 + 2 * LEADERS`` others in each of its bands before it is left apart.  Pairs whose
-signatures agree are verified by the exact weighted Jaccard similarity of their texts.  Classes are the components of
-the verified links.
+still in different components, buckets of up to ``SMALL`` texts compare all members of different components; the
+members of larger ones are searched exactly: a prefix-filter join on their rarest shingles by weight finds all pairs of
+different components that can be alike, and these are verified, the likeliest first, until none is left.  Pairs of the
+first two steps whose signatures agree, and all pairs of the last, are verified by the exact weighted Jaccard
+similarity of their texts.  Classes are the components of the verified links.
 
 Defined results: null and empty texts are each a class of their own; texts without words are alike if their bytes are
 equal; repeated rows share their class; a row with a null id is never looked up again, so only exact copies join it.
@@ -28,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +37,10 @@ from .words import NOT_ALNUM, Words, buffers, mix, per_row, slices, span_hashes
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 13, 3
-SMALL, LEADERS = 32, 8
+SMALL = 32
+RARE_BITS = 18
+BLOCK = 256
+FIRST = 8  # candidates of a text and a component that are verified first; each round takes as many times more
 IDF_BITS = 16
 _TABLE_BITS = 16
 _GRAIN = 64  # weights are multiples of 1 / 64, so equal shingles weigh the same to the last bit
@@ -260,6 +262,76 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("rid", "root")
 
 
+def _shingle_counts(texts: DataFrame, idf) -> np.ndarray:
+    """Texts by bin of hashed shingles; the table has ``2 ** RARE_BITS`` numbers whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RARE_BITS, np.int64)
+        for batch in batches:
+            data, offsets = buffers(batch.column(0))
+            for a, b in slices(offsets, _SLICE):
+                code = Shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], idf.value).code
+                total += np.bincount((code >> np.uint64(64 - RARE_BITS)).astype(np.int64), minlength=1 << RARE_BITS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["bin", "n"])
+
+    counts = texts.select("text").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    with small_batches(texts.sparkSession):
+        counted = counts.toArrow()
+    out = np.zeros(1 << RARE_BITS, np.int64)
+    out[counted["bin"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
+PREFIX = T.StructType([T.StructField(c, t) for c, t in (("rid", T.LongType()), ("root", T.LongType()), ("code", T.LongType()), ("weight", T.DoubleType()), ("rest", T.DoubleType()))])
+
+
+def candidates(docs: DataFrame, nodes: DataFrame, idf, key: str, text: str, similarity: float) -> DataFrame:
+    """(a, b, bound): all pairs of ``nodes`` (rid, root, key, print) of different roots that can reach ``similarity``.
+
+    Each text lists its shingles in one order for all texts, rare ones first.  What two texts share cannot weigh more
+    than either weighs from their first common shingle on, so that shingle lies in the prefix of both where
+    ``similarity`` of the weight is still to come.  Per shingle, texts outside its most frequent component meet all
+    others, in blocks of at most about ``BLOCK`` by ``BLOCK``.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(nodes, "key").select("rid", "root", "print", "text")
+    texts = stored(texts, "held")
+    counts = spark.sparkContext.broadcast(_shingle_counts(texts, idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column(3))
+            rid, root, signed = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            for a, b in slices(offsets, _SLICE):
+                shingles = Shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], idf.value)
+                same = fingerprints(shingles.words)[0].view(np.int64) == signed[a:b]  # rows of a repeated id: only the text that was signed
+                order = np.lexsort((shingles.code, counts.value[(shingles.code >> np.uint64(64 - RARE_BITS)).astype(np.int64)], shingles.row))
+                row, code, weight = shingles.row[order], shingles.code[order], shingles.weight[order]
+                total = per_row(weight, shingles.first)
+                sums = np.concatenate([[0.0], np.cumsum(weight)])
+                rest = total[row] - (sums[:-1] - sums[shingles.first[row]])
+                at = np.flatnonzero(same[row] & (rest >= (similarity - 1e-9) * total[row]))
+                row = row[at]
+                columns = [rid[a:b][row], root[a:b][row], code[at].view(np.int64), total[row], rest[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=PREFIX.names)
+
+    prefix = stored(texts.mapInArrow(run, PREFIX), "prefixes")
+    early = F.col("rest") >= (2 * similarity / (1 + similarity) - 1e-9) * F.col("weight")  # only there can a text meet a heavier one
+    groups = prefix.groupBy("code", "root").agg(F.count("*").alias("n"), F.sum(early.cast("long")).alias("early"))
+    shared = groups.groupBy("code").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.sum("early").alias("early"))
+    shared = shared.select("code", F.col("top.root").alias("most"), "n", (F.col("n") - F.col("top.n")).alias("few"), "early").where("few > 0 AND early > 0")
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
+    entries = stored(prefix.join(shared.select("code", "most", parts("n").alias("wide"), parts("few").alias("high")), "code"), "entries")
+    spread = lambda n: F.pmod(F.xxhash64("rid"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = entries.where("root <> most").select("code", spread("high").alias("i"), every("wide").alias("j"), F.col("rid").alias("a"), F.col("root").alias("root_a"), F.col("weight").alias("weight_a"), F.col("rest").alias("rest_a"))
+    right = entries.select("code", every("high").alias("i"), spread("wide").alias("j"), F.col("rid").alias("b"), F.col("root").alias("root_b"), F.col("weight").alias("weight_b"), F.col("rest").alias("rest_b"), "most")
+    bound = F.least("rest_a", "rest_b") - (similarity / (1 + similarity)) * (F.col("weight_a") + F.col("weight_b"))
+    met = left.join(right, ["code", "i", "j"]).where("root_a <> root_b AND (root_b = most OR a < b)").where(bound >= -1e-6)
+    return stored(met.groupBy("a", "b").agg(F.max(bound).alias("bound")), "candidates")
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, class_id) per row: ``class_id`` is the least key of the class."""
     spark = docs.sparkSession
@@ -274,42 +346,52 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     central = members.groupBy("rid").agg(F.sum("size").alias("central"))
     members = stored(members.join(central, "rid").select("band", "size", "rid", "central"), "members")
 
-    def leaders(of: DataFrame, salt: int) -> DataFrame:
-        """Up to LEADERS central members of each bucket: the first of each of as many random parts."""
-        part = F.pmod(F.xxhash64("rid", F.lit(salt)), F.lit(LEADERS))
-        best = of.groupBy("band", part.alias("part")).agg(F.max(F.struct("central", (-F.col("rid")).alias("r"))).alias("m"))
-        return best.select("band", "m.central", (-F.col("m.r")).alias("leader"))
-
     def linked(pairs: DataFrame) -> DataFrame:
         near = stored(_agreeing(pairs, nodes, bands * rows, similarity), "candidates")
         wanted = near.select(F.col("key_a").alias("key")).union(near.select("key_b")).distinct()
         found = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(wanted, "key", "left_semi")
         return stored(verified(near, stored(found, "texts"), idf, docs.schema[key].dataType, similarity), "links")
 
-    first = stored(leaders(members, 0).groupBy("band").agg(F.max_by("leader", F.struct("central", -F.col("leader"))).alias("leader")), "leaders")
-    star = members.join(first, "band").where("rid <> leader")
+    best = members.groupBy("band").agg(F.max(F.struct("central", (-F.col("rid")).alias("r"))).alias("m"))
+    star = members.join(best.select("band", (-F.col("m.r")).alias("leader")), "band").where("rid <> leader")
     links = linked(star.select(F.least("leader", "rid").alias("a"), F.greatest("leader", "rid").alias("b")).distinct())
     roots = components(links)
-    for salt in (1, 2):
-        placed = members.where("size > 2").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+
+    def unresolved(of: DataFrame) -> DataFrame:
+        """Members of the buckets whose members are in different components."""
+        placed = of.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-        rest = stored(placed.join(mixed, "band", "left_semi"), "rest")
-        if not rest.limit(1).count():
-            break
-        head = first.join(rest.select(F.col("rid").alias("leader"), "band", F.col("root").alias("head")), ["band", "leader"])
-        apart = rest.join(head, "band").where("root <> head")
-        large = leaders(rest.where(F.col("size") > SMALL), salt).join(rest.select("band", F.col("rid").alias("leader"), F.col("root").alias("other")), ["band", "leader"])
-        pairs = apart.join(large.select("band", F.col("leader").alias("b"), "other"), "band").where("root <> other AND rid <> b").select(F.col("rid").alias("a"), "b")
-        if salt == 1:
-            few = rest.where(F.col("size") <= SMALL)
-            other = few.select("band", F.col("rid").alias("b"), F.col("root").alias("other"))
-            pairs = pairs.union(few.select("band", F.col("rid").alias("a"), "root").join(other, "band").where("a < b AND root <> other").select("a", "b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = linked(pairs.join(links.select("a", "b"), ["a", "b"], "left_anti"))
-        if not more.limit(1).count():
-            break
+        return stored(placed.join(mixed, "band", "left_semi"), "rest")
+
+    few = unresolved(members.where((F.col("size") > 2) & (F.col("size") <= SMALL)))
+    other = few.select("band", F.col("rid").alias("b"), F.col("root").alias("other"))
+    pairs = few.select("band", F.col("rid").alias("a"), "root").join(other, "band").where("a < b AND root <> other").select("a", "b").distinct()
+    more = linked(pairs.join(links.select("a", "b"), ["a", "b"], "left_anti"))
+    if more.limit(1).count():
         links = stored(links.union(more), "links")
         roots = components(links)
+
+    rest = unresolved(members.where(F.col("size") > SMALL)).select("rid", "root").distinct()
+    rest = stored(rest.join(nodes, "rid").select("rid", "root", "key", "print"), "apart")
+    todo = candidates(docs, rest, idf, key, text, similarity)
+    texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    ends = [rest.select(F.col("rid").alias(s), F.col("key").alias(f"key_{s}"), F.col("print").alias(f"print_{s}")) for s in ("a", "b")]
+    take = FIRST
+    while True:  # ends when every candidate is verified or inside one component
+        for s in ("a", "b"):
+            todo = todo.join(roots.select(F.col("rid").alias(s), F.col("root").alias(f"root_{s}")), s, "left").withColumn(f"root_{s}", F.coalesce(f"root_{s}", s))
+        place = F.row_number().over(Window.partitionBy("a", "root_b").orderBy(F.desc("bound"), "b"))
+        ranked = stored(todo.where("root_a <> root_b").withColumn("place", place).drop("root_a", "root_b"), "ranked")
+        if not ranked.limit(1).count():
+            break
+        now = ranked.where(F.col("place") <= take).select("a", "b")
+        now = stored(now.join(ends[0], "a").join(ends[1], "b"), "candidates")
+        wanted = now.select(F.col("key_a").alias("key")).union(now.select("key_b")).distinct()
+        more = stored(verified(now, stored(texts.join(wanted, "key", "left_semi"), "texts"), idf, docs.schema[key].dataType, similarity), "links")
+        if more.limit(1).count():
+            links = stored(links.union(more), "links")
+            roots = components(links)
+        todo, take = ranked.where(F.col("place") > take).select("a", "b", "bound"), take * FIRST
     row = signed.select("rid", F.col(key), "print", "check").join(alike.select("print", "check", "rep"), ["print", "check"], "left")
     row = row.join(roots.select(F.col("rid").alias("rep"), "root"), "rep", "left").select(key, F.coalesce("root", "rep", "rid").alias("class"))
     row = stored(row, "classes")

@@ -259,6 +259,28 @@ def test_links_between_texts_that_miss_the_bucket_leader(spark):
     assert len({r.class_id for r in found}) == 1
 
 
+def test_small_groups_inside_a_large_bucket(spark):
+    """Texts of fixed sections and 16 in two wordings: all shingles are frequent, each text is alike to its partner only."""
+    rng = np.random.default_rng(11)
+    codes, texts = [], []
+    while len(codes) < 200:
+        code = rng.integers(0, 2, 16)
+        if all((code != c).sum() >= 5 for c in codes):
+            codes.append(code)
+            own = [f"s{k}v{v}w{i}" for k, v in enumerate([*code, *[2] * 12]) for i in range(20)]
+            texts += [_near(rng, own, 0.001), _near(rng, own, 0.001)]
+    places = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    number = {g: i for i, g in enumerate(set().union(*places))}
+    matrix = np.zeros((len(texts), len(number)), np.float32)
+    for i, own in enumerate(places):
+        matrix[i, [number[g] for g in own]] = 1
+    common, size = matrix @ matrix.T, matrix.sum(1)
+    a, b = np.nonzero(common >= 0.8 * (size[:, None] + size - common))
+    assert sorted(zip(a.tolist(), b.tolist())) == sorted((i, j) for i in range(len(texts)) for j in (i, i ^ 1))
+    found = dict(minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert found == {i: i & ~1 for i in range(len(texts))}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101), (105, 101)], "a long, b long")
     roots = dict(minhash.components(edges).collect())
