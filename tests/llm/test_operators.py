@@ -453,6 +453,15 @@ def test_suffix_tree_beats_the_unigram_base(spark):
     assert sum(r.score for r in scored) > sum(r.base_score for r in scored)
 
 
+def test_suffix_tree_scores_do_not_depend_on_the_row_before(spark):
+    texts = [(i, "red alpha beta omega" if i % 2 else "blue gamma delta psi") for i in range(400)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    orders = [frame.coalesce(1), frame.orderBy(F.col("doc_id") % 2, "doc_id").coalesce(1), frame.repartition(5)]
+    scores = [dict(suffix_tree.score_texts(f, F.lit(True)).select("doc_id", "score").collect()) for f in orders]
+    assert scores[1] == pytest.approx(scores[0], abs=1e-6) and scores[2] == pytest.approx(scores[0], abs=1e-6)
+    assert len({round(v, 6) for v in scores[0].values()}) <= 2
+
+
 def test_suffix_tree_without_training_rows(spark):
     frame = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     found = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.score, 9)) for r in suffix_tree.score_texts(frame, F.lit(False)).collect())
