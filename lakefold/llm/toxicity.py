@@ -2,7 +2,8 @@
 
 Folding puts texts in lower case, maps letters that look alike to Latin ones and digits or signs that stand for
 letters to these, and turns everything else into blanks.  Lexicon entries are whole words or word beginnings
-with a weight; all are matched in one pass of the automaton.  A match inside an exception phrase does not count.
+with a weight, matched by one automaton.  Signs at the end of a word that holds a letter are read as letters and as
+blanks; a word counts once whichever readings match.  A match inside an exception phrase does not count.
 The raw value is the weight of the matches per word; ``raw / (raw + c)`` puts it between 0 and 1, where ``c`` is
 chosen so that the calibrated cut lies at a score of 0.3.
 
@@ -36,6 +37,8 @@ FIT_ROWS = 20_000
 ENTRIES = 2000
 CUT = 0.3
 LEAST_ODDS = 2.0
+LEAST_TEXTS = 4  # toxic texts of an entry
+SIGNIFICANT = 20.0  # likelihood-ratio statistic of an entry's share in toxic text (chance below 1e-5)
 _EVIDENCE = 10
 _EVERY = ""  # the row of totals
 _SMOOTH = 10  # words added to the length, so that one match in a tiny text does not decide alone
@@ -72,6 +75,15 @@ _tables: list[np.ndarray] = []
 
 def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray]:
     """One folded string for a batch (each text between blanks) and where each text begins in it."""
+    folded, _, begin = readings(data, offsets)
+    return folded, begin
+
+
+def readings(data: np.ndarray, offsets: np.ndarray) -> tuple[str, str, np.ndarray]:
+    """The folded string with the signs at the ends of words as blanks, the same with them as letters, and where each text begins.
+
+    Both have the same words at the same places; a word without any letter is blank in both.
+    """
     if not _tables:
         _tables.append(_fold_table())
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
@@ -83,7 +95,16 @@ def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray]:
     own[begin] = False
     own[-1] = False
     folded[own] = _tables[0][points]
-    # a sign stands for a letter only before a letter or another sign of the same word, else it ends the word
+    # a sign before a letter of its word stands for a letter; those at the end of a word are read both ways
+    full = np.where(_SIGN_TABLE[folded] > 0, _SIGN_TABLE[folded], folded)
+    holds = np.concatenate([[0], np.cumsum((folded != 0x20) & (_SIGN_TABLE[folded] == 0))])
+    word = np.flatnonzero(np.diff((folded != 0x20).astype(np.int8), prepend=0))  # borders of words with their signs
+    starts, stops = word[::2], word[1::2]  # the last point is a blank, so each word ends
+    none = holds[stops] == holds[starts]
+    marks = np.zeros(len(folded) + 1, np.int64)
+    marks[starts[none]] += 1
+    marks[stops[none]] -= 1
+    full[np.cumsum(marks)[:-1] > 0] = 0x20
     letters = folded != 0x20
     signs = _SIGN_TABLE[folded]
     place = np.flatnonzero(signs)
@@ -93,7 +114,7 @@ def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray]:
         else:
             folded[p] = 0x20
             letters[p] = False
-    return folded.tobytes().decode("utf-32-le", "replace"), np.append(begin, len(folded) - 1)
+    return folded.tobytes().decode("utf-32-le", "replace"), full.tobytes().decode("utf-32-le", "replace"), np.append(begin, len(folded) - 1)
 
 
 def fold_text(text: str) -> str:
@@ -123,8 +144,21 @@ class Lexicon:
         return machine
 
 
-def _matches(machine, folded: str) -> Iterator[tuple[int, int, float]]:
-    """(first letter, end, weight) of each match outside the exception phrases; of matches at one word the heaviest."""
+def _ends(folded: str, full: str, longest: int) -> Iterator[tuple[int, str]]:
+    """(blank before it, reading) of each word that ends in signs with some but not all of these as letters."""
+    one, two = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (folded, full))
+    border = np.flatnonzero(np.diff((one != two).astype(np.int8), prepend=0))
+    for a, b in zip(border[::2].tolist(), border[1::2].tolist()):
+        start = folded.rfind(" ", 0, a)
+        for end in range(a + 1, min(b, start + 2 + longest)):  # no longer reading can be an entry
+            yield start, f" {full[start + 1 : end]} "
+
+
+def _matches(machine, folded: str, full: str | None = None, longest: int = 0) -> Iterator[tuple[int, int, float]]:
+    """(first letter, end, weight) of each match outside the exception phrases; of matches at one word the heaviest.
+
+    ``full``: the other reading of the signs at word ends; a word counts once whichever of its readings match.
+    """
     if not len(machine):
         return
     best: dict[int, tuple[int, float]] = {}
@@ -135,6 +169,17 @@ def _matches(machine, folded: str) -> Iterator[tuple[int, int, float]]:
             void.append((start, last))
         elif weight > best.get(start, (0, 0.0))[1]:
             best[start] = (last + 1, weight)
+    if full is not None and full != folded:
+        for last, (size, weight, exception) in machine.iter(full):
+            start = last - size + 1
+            if exception:
+                void.append((start, last))
+            elif weight > best.get(start, (0, 0.0))[1]:
+                best[start] = (last + 1, weight)
+        for start, reading in _ends(folded, full, longest):
+            for last, (size, weight, exception) in machine.iter(reading):
+                if not exception and last + 1 == size and weight > best.get(start, (0, 0.0))[1]:
+                    best[start] = (start + size, weight)
     covered = np.zeros(0)
     if void:
         covered = np.zeros(len(folded) + 1, np.int32)
@@ -147,12 +192,12 @@ def _matches(machine, folded: str) -> Iterator[tuple[int, int, float]]:
             yield start, end, weight
 
 
-def _raw(machine, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _raw(machine, data: np.ndarray, offsets: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weight, number of matches and words of each text."""
-    folded, begin = fold(data, offsets)
+    folded, full, begin = readings(data, offsets)
     rows = len(offsets) - 1
     weight, found = np.zeros(rows), np.zeros(rows, np.int64)
-    for start, _, w in _matches(machine, folded):
+    for start, _, w in _matches(machine, folded, full, longest):
         row = np.searchsorted(begin, start, side="right") - 1
         weight[row] += w
         found[row] += 1
@@ -171,9 +216,10 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, *, text: str = "text", into:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, constant = shared.value.automaton(), shared.value.constant
+        longest = max((len(e.rstrip("*")) for e in shared.value.entries), default=0)
         for batch in batches:
             data, offsets = buffers(batch.column(text))
-            parts = [_raw(machine, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets)]
+            parts = [_raw(machine, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], longest) for a, b in slices(offsets)]
             weight, found, words = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
             raw = weight / (words + _SMOOTH)
             result = pa.StructArray.from_arrays([pa.array(raw / (raw + constant)), pa.array(found), pa.array(words)], names=RESULT.names)
@@ -193,11 +239,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     total = counted.where(F.col("word") == _EVERY).first()
     if total is None or not total.a or not total.b:
         return Lexicon()
-    # how much more often the entry stands in toxic than in clean text, for entries of a hundredth of the toxic texts
+    # how much more often the entry stands in toxic than in clean text, for entries of some toxic texts whose share is no chance
     odds = F.log((F.col("a") + 0.5) / float(total.a)) - F.log((F.col("b") + 0.5) / float(total.b))
-    chosen = counted.where((F.col("t") >= max(4, total.t // 100)) & (F.col("word") != _EVERY)).withColumn("w", odds).where(F.col("w") >= LEAST_ODDS).orderBy(F.desc(F.col("w") * F.col("t")), "word").limit(4 * entries)
+    share = total.a / (total.a + total.b)
+    n = F.col("a") + F.col("b")
+    term = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * p))).otherwise(0.0)
+    chosen = counted.where((F.col("t") >= LEAST_TEXTS) & (F.col("word") != _EVERY) & (2 * (term("a", share) + term("b", 1 - share)) >= SIGNIFICANT)).withColumn("w", odds).where(F.col("w") >= LEAST_ODDS).orderBy(F.desc(F.col("w") * F.col("t")), "word").limit(4 * entries)
     weights = {r.word: r.w for r in chosen.collect()}
-    lexicon = Lexicon(_telling(texts, weights, entries, max(4, total.t // 100)), tuple(fold_text(e).strip() for e in exceptions))
+    lexicon = Lexicon(_telling(texts, weights, entries, LEAST_TEXTS), tuple(fold_text(e).strip() for e in exceptions))
     lexicon.exceptions += _learned_exceptions(texts, lexicon)
     scored = score_texts(texts, Lexicon(lexicon.entries, lexicon.exceptions, 1.0)).select("label", "toxicity.score").collect()
     lexicon.constant = _constant([(s / (1 - s), y == 1) for y, s in scored])

@@ -112,6 +112,20 @@ def test_folding():
     assert toxicity.fold_text("1d10t іdіot, IDIOT! 2024 idiot$$$ ｉｄiot").split() == ["idiot", "idiot", "idiot", "idiot", "idiot"]
 
 
+def test_substituted_last_letters(spark):
+    lexicon = toxicity.Lexicon({"shit": 2.0, "idiot": 2.0, "hate": 2.0, "ass": 2.0}, ("ass kicking",), 0.1)
+    texts = ["5h17", "idi07", "h4t3", "idiot$$$", "1d107!!!", "idi07$$$", "455", "2024 70 5", "a55 kicking", "idi07 idiot", "a555555", "idiot5 h4t3"]
+    found = toxicity.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lexicon).orderBy("doc_id").collect()
+    assert [r.toxicity.n_matches for r in found] == [1, 1, 1, 1, 1, 1, 0, 0, 0, 2, 1, 2]
+
+
+def test_words_of_few_toxic_texts_enter_the_lexicon(spark):
+    rows = [(i, f"plain words of text {i} " + ("zorkish" if i < 19 else "blagging"), 1) for i in range(2000)] + [(i, f"plain words of text {i}", 0) for i in range(2000, 4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.fit(frame, frame.select("doc_id", "toxic")).entries
+    assert any("zorkish".startswith(e.rstrip("*")) for e in found) and not any("plain".startswith(e.rstrip("*")) for e in found)
+
+
 def test_lexicon_matching_and_exceptions(spark):
     lexicon = toxicity.Lexicon({"trash": 2.0, "idio*": 3.0}, ("trash can",), 0.1)
     texts = ["", None, "the trash can is full", "you trash", "idi0tic trash", "trashy", "can trash"]
