@@ -5,7 +5,7 @@ Rows are numbered 0 .. N-1 in the order of (id, size, checksum).  A keyed Feiste
 the permuted number modulo the shard count and the slot its quotient.  So shard and slot of any row can
 be computed from its number and the seed alone, shards differ by at most one row, and slots have no gaps.
 
-Only ids, sizes and checksums are sorted, never texts.  Numbers come from a range partitioning that is
+To place rows only ids, sizes and checksums are sorted; writing the shards sorts the texts once by the same order.  Numbers come from a range partitioning that is
 written once (its partition sizes are summed by a window over one row per partition).
 
 Defined results: rows with equal keys (repeated rows) get distinct numbers among themselves; a null id
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,13 +87,27 @@ def shard_rows(rows: DataFrame, shards: int, *, order: list[str], seed: int = 0)
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, *, key: str) -> None:
-    """Join the texts to their places and write one folder per shard, rows in slot order."""
-    places = placed.select(F.col(key).alias("__key"), "shard", "slot")
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, *, key: str, match: dict[str, Column] | None = None) -> None:
+    """Give each row of ``docs`` one place of ``placed`` and write one folder per shard, rows in slot order.
+
+    Both sides are numbered in the order of ``key`` and the columns of ``match`` (names in ``placed``, expressions over
+    ``docs``) and joined on the number, so null keys keep their rows and rows of equal keys get a place each.
+    """
+    match = match or {}
+    named = docs.drop("shard", "slot").select("*", *(c.alias(f"__{name}") for name, c in match.items()), F.monotonically_increasing_id().alias("__tie"))
+    texts = number_rows(named, [key, *(f"__{name}" for name in match), "__tie"], "__row").drop("__tie")
+    places = placed.select(F.col(key).alias("__key"), *(F.col(name).alias(f"__to_{name}") for name in match), "shard", "slot")
+    places = number_rows(places, ["__key", *(f"__to_{name}" for name in match), "slot", "shard"], "__row")
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    for name in match:
+        same &= F.col(f"__{name}").eqNullSafe(F.col(f"__to_{name}"))
+    # places of other rows are an error, found before anything is written
+    own = texts.select("__row", key, *(f"__{name}" for name in match)).join(places, "__row", "full")
+    if own.where(~same | F.col("shard").isNull()).limit(1).count() or texts.count() != places.count():
+        raise ValueError("the places belong to other rows")
     (
-        docs.drop("shard", "slot")
-        .join(places, docs[key] == places["__key"])
-        .drop("__key")
+        texts.join(places, "__row")
+        .drop("__row", "__key", *(f"__{name}" for name in match), *(f"__to_{name}" for name in match))
         .repartition("shard")
         .sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard")

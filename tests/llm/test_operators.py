@@ -398,6 +398,23 @@ def test_shards(spark, docs, rows, tmp_path):
     assert sharding.shard_rows(docs.limit(0), 7, order=["doc_id"]).count() == 0
 
 
+def test_written_shards(spark, tmp_path):
+    rows = [(None, "x"), (None, "y"), (None, None), *[(1, "same")] * 5, (1, "other"), *((i, f"text {i}") for i in range(2, 40))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    match = {"size": F.octet_length(text), "text_crc32": F.crc32(text)}
+    ids = frame.select("doc_id", *(c.alias(n) for n, c in match.items()))
+    placed = corpus_pipeline.stored(sharding.shard_rows(ids, 3, order=["doc_id", "size", "text_crc32"], seed=4), "placed")
+    for k, given in enumerate((match, None)):
+        sharding.write_shards(frame, placed, f"{tmp_path}/{k}", key="doc_id", match=given)
+        written = spark.read.parquet(f"{tmp_path}/{k}").collect()
+        text_key = lambda r: tuple("" if v is None else str(v) for v in r)
+        assert sorted(((r.doc_id, r.text) for r in written), key=text_key) == sorted(rows, key=text_key)
+        assert sorted((r.shard, r.slot, r.doc_id or 0) for r in written) == sorted((r.shard, r.slot, r.doc_id or 0) for r in placed.collect())
+    with pytest.raises(ValueError):
+        sharding.write_shards(frame.where("doc_id > 1"), placed, f"{tmp_path}/2", key="doc_id")
+
+
 # 10 suffix tree
 
 
