@@ -279,7 +279,7 @@ def test_small_groups_inside_a_large_bucket(spark):
     codes, texts = [], []
     while len(codes) < 200:
         code = rng.integers(0, 2, 16)
-        if all((code != c).sum() >= 5 for c in codes):
+        if all((code != c).sum() >= 4 for c in codes):
             codes.append(code)
             own = [f"s{k}v{v}w{i}" for k, v in enumerate([*code, *[2] * 12]) for i in range(20)]
             texts += [_near(rng, own, 0.001), _near(rng, own, 0.001)]
