@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fst, minhash, packing, quality, sharding, simple8b, suffix_tree, toxicity, warc
+from lakefold.functions.arrays import let
+
+from . import decontaminate, fst, minhash, packing, quality, runs, sharding, simple8b, suffix_tree, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +155,44 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies that each document belongs to."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _id_checksum(key: str = "doc_id"):
+    return F.crc32(F.col(key).cast("string").cast("binary"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth repeat their end: the words from ``a`` on go round in ``p`` words.
+
+    A null id plants nothing.
+    """
+    h = _id_checksum()
+    g = F.floor(h / 10)
+
+    def round_and_round(words):
+        n = F.size(words)
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        place = let(F.struct(a.cast("int").alias("a"), p.cast("int").alias("p")), lambda b: F.transform(
+            F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i < b["a"], i).otherwise(b["a"] + (i - b["a"]) % b["p"]))))
+        return F.when(n > 0, F.array_join(place, " ")).otherwise(F.lit(""))
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, round_and_round)).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which get a periodic end first."""
+    found = runs.find_runs(planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = F.transform("periodic.runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("periodic.runs").cast("long").alias("n_runs"),
+        "periodic.top.start",
+        "periodic.top.length",
+        "periodic.top.period",
+        F.expr("periodic.top.length * 1000 div periodic.top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("periodic.collapsed_text"), 256).alias("collapsed_sha256"),
+    )
