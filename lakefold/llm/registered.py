@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakefold.functions.arrays import let
 
-from . import decontaminate, fst, minhash, packing, quality, runs, sharding, simple8b, suffix_tree, toxicity, warc
+from . import decontaminate, fst, minhash, packing, phrases, quality, runs, sharding, simple8b, suffix_tree, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -196,3 +196,23 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
         F.sha2(F.col("periodic.collapsed_text"), 256).alias("collapsed_sha256"),
     )
+
+
+@query(
+    "op13_repeated_phrases",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+    g AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') g
+          FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) i FROM d WHERE len(w) >= 13)),
+    f AS (SELECT g, min(doc_id) least FROM g GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+    p AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) k FROM g JOIN f USING (g) WHERE least < doc_id),
+    k AS (SELECT u.doc_id, count(*) n, string_agg(u.v, ' ' ORDER BY u.k) kept
+          FROM (SELECT doc_id, unnest(w) v, generate_subscripts(w, 1) k FROM d) u ANTI JOIN p USING (doc_id, k) GROUP BY 1)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) n_removed, sha256(coalesce(k.kept, '')) kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)
+    """,
+)
+def op13_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages that documents of smaller ids have."""
+    found = phrases.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept_text", 256).alias("kept_sha256"))

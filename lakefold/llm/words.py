@@ -151,14 +151,18 @@ def per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
-def joined(words: Words, chosen: np.ndarray) -> list[str]:
-    """Each row's chosen words (a mark per word), joined by one space."""
+def joined_bytes(words: Words, chosen: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The chosen words (a mark per word) with one space behind each, and where each row begins."""
     picked = np.flatnonzero(chosen)
     begins, sizes = words.starts[picked], words.ends[picked] - words.starts[picked] + 1
     places = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
     source = np.repeat(begins - places[:-1], sizes) + np.arange(places[-1])
     out = words.data[np.minimum(source, max(len(words.data) - 1, 0))] if len(source) else np.zeros(0, np.uint8)
     out[places[1:] - 1] = 0x20
-    bounds = places[np.searchsorted(picked, words.first)]
-    raw = out.tobytes()
+    return out.tobytes(), places[np.searchsorted(picked, words.first)]
+
+
+def joined(words: Words, chosen: np.ndarray) -> list[str]:
+    """Each row's chosen words, joined by one space."""
+    raw, bounds = joined_bytes(words, chosen)
     return [raw[a : max(a, b - 1)].decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
