@@ -13,9 +13,10 @@ of hot anchors travel alone to the shard of their own hash, so a common line doe
 one shard.
 
 *Automata.*  Equal pieces are first merged to one row with their least and greatest key.  A shard's distinct pieces
-confirm its recurring windows, which are compiled into an Aho-Corasick automaton; then the shard's pieces of all
-documents stream through it.  A shard holds fewer than ``hot`` distinct pieces (or those of one window hash), and the
-stream of a shard with more than a thousandth of all pieces is split over several copies of its automaton.
+confirm its recurring windows, which are compiled into an Aho-Corasick automaton that locates them in every piece; then
+the shard's pieces of all documents stream by, as hashes (64 bits beside the shard's own 64).  A shard holds fewer than
+``hot`` distinct pieces (or those of one window hash), and the stream of a shard with more than a thousandth of all
+pieces is split over several copies of its automaton.
 
 *Result.*  The located stretches return to their document by key and text hash.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored
-from .words import BLANKS, Words, buffers, joined, joined_bytes, slices
+from .words import BLANKS, Words, buffers, joined, joined_bytes, slices, span_hashes
 
 WIDTH = 13
 GRAM = 4
@@ -112,7 +113,7 @@ def _bitmap(anchors: DataFrame, filter_bits: int) -> np.ndarray:
 
 
 def _cut_pieces(marks, width: int, filter_bits: int, columns: list[str]):
-    """Rows (shard, text, first word, key, row) for the windows of marked anchors."""
+    """Pieces around marked anchors: their shard and hash, and of ``columns`` the text, the place, the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, hot = marks.value
@@ -128,16 +129,21 @@ def _cut_pieces(marks, width: int, filter_bits: int, columns: list[str]):
                 owner = np.repeat(use[alone], found.edges[use[alone] + 1] - found.edges[use[alone]])
                 begin = np.concatenate([found.starts[found.edges[group]], found.starts[single]])
                 last = np.concatenate([found.starts[found.edges[group + 1] - 1], found.starts[single]]) + width - 1
-                shard = np.concatenate([found.anchors[group], found.window_hashes[single]])
                 rows = np.concatenate([found.rows[group], found.rows[owner]])
                 raw, _ = joined_bytes(words, np.ones(len(words), bool))
                 sizes = words.ends - words.starts + 1
                 places = np.cumsum(sizes) - sizes  # of each word in ``raw``
-                lo, hi = places[begin].tolist(), (places[last] + sizes[last] - 1).tolist()
-                texts = pa.array([raw[a:b] for a, b in zip(lo, hi)], pa.string())
+                lo, hi = places[begin], places[last] + sizes[last] - 1
                 taken = pa.array(row + rows)
-                arrays = [pa.array(shard.view(np.int64)), texts, pa.array(begin - words.first[rows]), batch.column(0).take(taken), batch.column(2).take(taken)]
-                whole = pa.RecordBatch.from_arrays(arrays, names=columns)
+                make = {
+                    "shard": lambda: pa.array(np.concatenate([found.anchors[group], found.window_hashes[single]]).view(np.int64)),
+                    "piece": lambda: pa.array(span_hashes(np.frombuffer(raw, np.uint8), lo, hi).view(np.int64)),
+                    "text": lambda: pa.array([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist())], pa.string()),
+                    "start": lambda: pa.array(begin - words.first[rows]),
+                    "key": lambda: batch.column(0).take(taken),
+                    "row": lambda: batch.column(2).take(taken),
+                }
+                whole = pa.RecordBatch.from_arrays([make[c]() for c in columns], names=columns)
                 for at in range(0, len(whole), _OUT_ROWS):
                     yield whole.slice(at, _OUT_ROWS)
 
@@ -145,13 +151,13 @@ def _cut_pieces(marks, width: int, filter_bits: int, columns: list[str]):
 
 
 class _Shard:
-    """Distinct pieces of one shard, its automaton, and the windows located in each piece."""
+    """Distinct pieces of one shard, its automaton, and the recurring windows located in each piece."""
 
     def __init__(self, width: int):
-        self.width, self.least, self.greatest = width, {}, {}
-        self.automaton, self.located = None, {}
+        self.width, self.texts, self.least, self.greatest = width, {}, {}, {}
 
-    def add(self, text: str, first, last) -> None:
+    def add(self, piece: int, text: str, first, last) -> None:
+        self.texts[piece] = text
         words = text.split(" ")
         for i in range(len(words) - self.width + 1):
             window = " ".join(words[i : i + self.width])
@@ -161,45 +167,41 @@ class _Shard:
                 self.least[window] = min(self.least[window], first)
                 self.greatest[window] = max(self.greatest[window], last)
 
-    def compile(self) -> None:
+    def located(self) -> dict[int, list[tuple[int, object]]]:
+        """First word and least key of each recurring window, by piece."""
         automaton = ahocorasick.Automaton()
         for window, first in self.least.items():
             if first < self.greatest[window]:
                 automaton.add_word(f" {window} ", (first, len(window)))
-        self.least = self.greatest = None
-        if len(automaton):
-            automaton.make_automaton()
-            self.automaton = automaton
-
-    def locate(self, text: str) -> list[tuple[int, object]]:
-        """First word and least key of each recurring window of a piece."""
-        hits = self.located.get(text)
-        if hits is None:
+        if not len(automaton):
+            return {}
+        automaton.make_automaton()
+        out = {}
+        for piece, text in self.texts.items():
             line = f" {text} "
-            hits = [(line.count(" ", 0, end - size - 1), first) for end, (first, size) in self.automaton.iter(line)]
-            self.located[text] = hits
-        return hits
+            hits = [(line.count(" ", 0, end - size - 1), first) for end, (first, size) in automaton.iter(line)]
+            if hits:
+                out[piece] = hits
+        return out
 
 
 def _stream(width: int):
-    """Sorted rows of shards, distinct pieces before located ones, to removed stretches of documents."""
+    """Sorted rows of shards, distinct pieces before their places, to removed stretches of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, shard = None, None
+        current, shard, located = None, None, None
         for batch in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
-            names = ("shard", "salt", "kind", "text", "key", "last", "row", "start")
-            for number, salt, kind, text, key, last, row, start in zip(*(batch.column(c).to_pylist() for c in names)):
+            names = ("shard", "salt", "kind", "piece", "text", "key", "last", "row", "start")
+            for number, salt, kind, piece, text, key, last, row, start in zip(*(batch.column(c).to_pylist() for c in names)):
                 if (number, salt) != current:
-                    current, shard = (number, salt), _Shard(width)
+                    current, shard, located = (number, salt), _Shard(width), None
                 if kind == 0:
-                    shard.add(text, key, last)
+                    shard.add(piece, text, key, last)
                     continue
-                if shard.least is not None:
-                    shard.compile()
-                if shard.automaton is None:
-                    continue
-                gone = [place for place, first in shard.locate(text) if first < key]
+                if located is None:
+                    located, shard = shard.located(), None
+                gone = [place for place, first in located.get(piece, ()) if first < key]
                 if gone:  # windows of a piece overlap, so they are one stretch
                     for column, value in zip(out, (key, row, start + min(gone), start + max(gone) + width)):
                         column.append(value)
@@ -259,24 +261,24 @@ def remove_repeats(
     shared = stored(counted.where("least < greatest").select("anchor", (F.col("places") >= hot).alias("hot")), "anchors")
     marks = spark.sparkContext.broadcast((_bitmap(shared, filter_bits), _bitmap(shared.where("hot"), filter_bits)))
 
-    columns = ["shard", "text", "start", "key", "row"]
-    pieces = texts.mapInArrow(
-        _cut_pieces(marks, width, filter_bits, columns), schema(("shard", long), ("text", string), ("start", long), ("key", kind), ("row", long))
-    )
-    distinct = pieces.groupBy("shard", "text").agg(F.min("key").alias("key"), F.max("key").alias("last"), F.count("*").alias("places"))
-    distinct = stored(distinct, "pieces")
+    types = {"shard": long, "piece": long, "text": string, "start": long, "key": kind, "row": long}
+
+    def pieces(*columns: str) -> DataFrame:
+        return texts.mapInArrow(_cut_pieces(marks, width, filter_bits, list(columns)), schema(*((c, types[c]) for c in columns)))
+
+    distinct = pieces("shard", "piece", "text", "key").groupBy("shard", "piece", "text")
+    distinct = stored(distinct.agg(F.min("key").alias("key"), F.max("key").alias("last"), F.count("*").alias("places")), "pieces")
 
     sizes = distinct.groupBy("shard").agg(F.sum("places").alias("places"))
     share = max(1000, (distinct.agg(F.sum("places")).first()[0] or 0) // 1000)
-    large = {r.shard: int(r.places // share) + 1 for r in sizes.where(F.col("places") > share).collect()}  # fewer than 1000
-    copies = F.lit(1)
-    if large:
-        copies = F.coalesce(F.get(F.create_map(*(F.lit(x) for pair in large.items() for x in pair)), F.col("shard")), F.lit(1))
-    one = F.lit(None)
-    patterns = distinct.select(
-        "shard", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"), F.lit(0).alias("kind"), "text", "key", "last", one.cast("long").alias("row"), one.cast("long").alias("start")
+    large = F.broadcast(sizes.where(F.col("places") > share).select("shard", F.floor(F.col("places") / share).cast("int").alias("more")))  # fewer than 1000 rows
+    extra, one = F.coalesce("more", F.lit(0)), F.lit(None)
+    patterns = distinct.join(large, "shard", "left").select(
+        "shard", F.explode(F.sequence(F.lit(0), extra)).alias("salt"), F.lit(0).alias("kind"), "piece", "text", "key", "last", one.cast("long").alias("row"), one.cast("long").alias("start")
+    )
+    stream = pieces("shard", "piece", "key", "row", "start").join(large, "shard", "left").select(
+        "shard", F.pmod(F.xxhash64("key", "row"), extra + 1).cast("int").alias("salt"), F.lit(1).alias("kind"), "piece", one.cast("string").alias("text"), "key", one.cast(kind).alias("last"), "row", "start"
     )
-    stream = pieces.select("shard", F.pmod(F.xxhash64("key", "row"), copies).cast("int").alias("salt"), F.lit(1).alias("kind"), "text", "key", one.cast(kind).alias("last"), "row", "start")
     rows = patterns.unionByName(stream).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     found = rows.mapInArrow(_stream(width), schema(("key", kind), ("row", long), ("begin", long), ("end", long)))
     spans = found.groupBy("key", "row").agg(F.collect_list(F.struct("begin", "end")).alias("__spans"))
