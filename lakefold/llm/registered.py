@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakefold.functions.arrays import let
 
-from . import decontaminate, fst, minhash, packing, phrases, quality, runs, sharding, simple8b, suffix_tree, toxicity, warc
+from . import decontaminate, fst, minhash, packing, phrases, quality, repair, runs, sharding, simple8b, suffix_tree, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,3 +216,61 @@ def op13_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the passages that documents of smaller ids have."""
     found = phrases.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept_text", 256).alias("kept_sha256"))
+
+
+# CRC-32 of short ASCII strings: the byte table from its polynomial, then a fold over the bytes.
+_CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) tab FROM (SELECT i, list_reduce(list_concat([i], range(8)),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) v FROM range(256) t(i)))"""
+_CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({0}, ''), lambda s: CAST(unicode(s) AS BIGINT))),
+                lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+
+@query(
+    "op11_repair_conversations",
+    r"""
+    WITH RECURSIVE """
+    + _CRC_TABLE
+    + """,
+    k AS (SELECT conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') AS text,
+                 """
+    + _CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+    + r""" % 20 h FROM conversations, crc),
+    d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END role,
+                 CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+          FROM (SELECT k.*, unnest(CASE h WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) copy FROM k)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) i FROM d),
+    p AS (SELECT *, left(role, 1) r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) before,
+                 CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END fault FROM o),
+    e AS (SELECT conv_id, i, 3 c, 'D' a, '' r, '' line FROM p
+          UNION ALL SELECT conv_id, i, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END, 'K', r, chr(10) || role || ':' || text FROM p
+          WHERE (fault IS NULL OR fault = 'truncated') AND r IN ('s', 'u', 'a')
+          UNION ALL SELECT conv_id, i, CASE WHEN fault = 'truncated' THEN 3 ELSE 2 END, 'R', n[1], chr(10) || n || ':' || text FROM p, (VALUES ('user'), ('assistant')) v(n)
+          WHERE (fault IS NULL OR fault = 'truncated') AND n[1] <> r),
+    step(q, r, q2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2), (0, '', 0), (1, '', 1), (2, '', 2), (3, '', 3)),
+    u AS (SELECT chr(10) || 'user:' u, chr(10) || 'assistant:' a),
+    ins AS (SELECT q, q q2, 0 c, '' a, '' line FROM range(4) t(q)
+            UNION ALL SELECT q, q2, 2, 'I', CASE r WHEN 'u' THEN u.u ELSE u.a END FROM step, u WHERE r IN ('u', 'a')
+            UNION ALL SELECT x.q, y.q2, 4, 'II', CASE x.r WHEN 'u' THEN u.u || u.a ELSE u.a || u.u END
+            FROM step x JOIN step y ON x.q2 = y.q, u WHERE x.r IN ('u', 'a') AND y.r IN ('u', 'a')),
+    ids AS (SELECT DISTINCT conv_id FROM conversations),
+    f AS (SELECT conv_id, CAST(0 AS BIGINT) i, 0 q, {'c': 0, 'a': '', 'line': ''} v FROM ids
+          UNION ALL
+          SELECT f.conv_id, e.i, step.q2, min({'c': f.v.c + ins.c + e.c, 'a': f.v.a || ins.a || e.a, 'line': f.v.line || ins.line || e.line})
+          FROM f JOIN ins ON ins.q = f.q JOIN e ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.i = f.i + 1 JOIN step ON step.q = ins.q2 AND step.r = e.r
+          GROUP BY 1, 2, 3),
+    z AS (SELECT conv_id, min({'c': f.v.c + ins.c, 'a': f.v.a || ins.a, 'line': f.v.line || ins.line}) v
+          FROM f JOIN (SELECT conv_id, max(i) i FROM f GROUP BY 1) m USING (conv_id, i) JOIN ins ON ins.q = f.q WHERE ins.q2 IN (0, 3) GROUP BY 1),
+    n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps, count(*) FILTER (fault = 'blank') blank,
+                 count(*) FILTER (fault = 'duplicate') duplicate, count(*) FILTER (fault = 'truncated') truncated,
+                 count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) illegal FROM p GROUP BY 1)
+    SELECT ids.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated,
+           coalesce(illegal, 0) illegal, CAST(z.v.c AS BIGINT) cost, z.v.a audit, sha256(substring(z.v.line, 2)) repaired_sha256
+    FROM ids JOIN z ON z.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ids.conv_id
+    """,
+)
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations and their cheapest repair."""
+    damaged, copies = repair.damage(table(spark, sf_dir, "conversations"))
+    return repair.repair_conversations(damaged, copies=copies)
