@@ -31,6 +31,11 @@ def is_valid_xml(text: Column) -> Column:
     )
 
 
+def xml_fault(text: Column) -> Column:
+    """Why markup cannot be read: ``missing part``, ``malformed part``, or null for well-formed markup."""
+    return F.when(text.isNull(), "missing part").when(~is_valid_xml(text), "malformed part")
+
+
 def gated(text: Column, expression: Column) -> Column:
     """``expression`` for well-formed documents, null for the rest."""
     return F.when(is_valid_xml(text), expression)

@@ -13,8 +13,9 @@ from ..functions.markup import (
 )
 from ..functions.scalars import parse_hex_color
 from ..functions.text import is_blank, word_count
-from ..functions.xmltext import is_valid_xml
+from ..functions.xmltext import is_valid_xml, xml_fault
 from ..sources.archive import open_packages
+from .faults import fault, package_errors
 
 DOCX_PARTS = r"(^|/)document\.xml$|^word/(styles\.xml|_rels/document\.xml\.rels)$"
 DOCX_PARTS_WITH_MEDIA = DOCX_PARTS + r"|^word/media/|^media/"
@@ -90,6 +91,14 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     )
 
 
+def paragraphs_errors(docs: DataFrame) -> DataFrame:
+    """``(path, part, error)``: packages that do not open, and those whose main document is missing or malformed."""
+    parts = F.col("parts")
+    name = F.when(F.map_contains_key(parts, F.lit("word/document.xml")), F.lit("word/document.xml")).otherwise(
+        at(F.filter(F.map_keys(parts), lambda k: k.endswith("document.xml")), 0))
+    return package_errors(docs, let(F.coalesce(name, F.lit("word/document.xml")), lambda n: F.array(fault(n, xml_fault(part_text(parts, n))))))
+
+
 def runs(docs: DataFrame) -> DataFrame:
     """``(path, par_no, run_no, text, bold, italic, underline, font_size, color, font_family)``."""
     return paragraphs(docs).select("path", "par_no", F.posexplode("runs").alias("run_no", "r")).select("path", "par_no", "run_no", "r.*")
@@ -315,6 +324,13 @@ def wps_content(docs: DataFrame) -> DataFrame:
     return as_rows.unionByName(as_cells)
 
 
+def wps_errors(docs: DataFrame) -> DataFrame:
+    """``(path, part, error)``: packages that do not open, and those whose main part is missing or malformed."""
+    names = ["document.xml", "doc.xml", "content.xml"]
+    name = F.coalesce(*[F.when(F.map_contains_key("parts", F.lit(n)), F.lit(n)) for n in names], F.lit(names[0]))
+    return package_errors(docs, F.array(fault(name, xml_fault(first_part_text(F.col("parts"), names)))))
+
+
 def wps_styles(docs: DataFrame) -> DataFrame:
     """``(path, style_id, attributes)`` with all attributes of the style element as a map."""
     listed = elements(first_part_text(F.col("parts"), ["styles.xml", "style.xml"]), "style")

@@ -10,8 +10,9 @@ from ..functions.html import html_text, html_title
 from ..functions.markup import attribute, elements, first_element, part, part_text, text_content
 from ..functions.scalars import basename, dirname
 from ..functions.text import trim_space
-from ..functions.xmltext import is_valid_xml
+from ..functions.xmltext import is_valid_xml, xml_fault
 from ..sources.archive import open_packages
+from .faults import fault, package_errors
 from .trees import with_parents
 
 CONTAINER = "META-INF/container.xml"
@@ -82,6 +83,24 @@ def epub_chapters(books: DataFrame) -> DataFrame:
     )
 
 
+def chapters_errors(books: DataFrame) -> DataFrame:
+    """``(path, part, error)``: books that do not open, and reading-order references without an item or a part."""
+    parts = F.col("parts")
+    located = books.select("path", "parts", "error", _opf_path(parts).alias("opf_path"))
+    read = located.withColumn("text", part_text(parts, F.col("opf_path"))).withColumn("opf", F.when(is_valid_xml(F.col("text")), F.col("text")))
+    spine = F.transform(elements(first_element(F.col("opf"), "spine"), "itemref"), lambda r: attribute(r, "idref"))
+    prepared = read.select("path", "parts", "error", "text", "opf", "opf_path", _items(F.col("opf"), dirname(F.col("opf_path"))).alias("items"), spine.alias("spine"))
+
+    def check(idref: Column) -> Column:
+        item = F.try_element_at(F.filter("items", lambda i: i["id"] == idref), F.lit(-1))
+        return let(item, lambda i: F.when(i.isNull(), fault(idref, F.lit("no manifest item"))).otherwise(
+            fault(i["item_path"], F.when(~F.map_contains_key(parts, i["item_path"]), "missing part"))))
+
+    container = F.when(F.col("opf_path").isNull(), "no package document named")
+    package = F.when(F.col("opf_path").isNotNull(), xml_fault(F.col("text")))
+    return package_errors(prepared, F.array(fault(CONTAINER, container), fault(F.col("opf_path"), package)), F.transform("spine", check))
+
+
 def epub_toc(books: DataFrame, flat: bool = False) -> DataFrame:
     """``(path, toc_no, depth, parent, title, src)`` of the navigation points.
 

@@ -9,6 +9,7 @@ from ..functions.arrays import at, let
 from ..functions.markup import attribute, elements, first_element, leading_float, part_text, text_content
 from ..functions.xmltext import is_valid_xml
 from ..sources.archive import archive_parts, open_packages
+from .faults import fault, package_errors, part_faults
 
 OFD_PARTS = r"^(OFD\.xml|Doc_0/(Document|Pages)\.xml|Doc_0/Pages/Page_.*)$"
 
@@ -17,10 +18,14 @@ def open_ofd(files: DataFrame) -> DataFrame:
     return open_packages(files, OFD_PARTS)
 
 
+def _page_list(parts: Column) -> Column:
+    return elements(first_element(F.coalesce(part_text(parts, "Doc_0/Pages.xml"), first_element(part_text(parts, "Doc_0/Document.xml"), "Pages")), "Pages"), "Page")
+
+
 def _page_rows(docs: DataFrame) -> DataFrame:
     """``(path, page_no, id, xml)``; markup is null where a page's content is missing or malformed."""
     parts = F.col("parts")
-    listed = elements(first_element(F.coalesce(part_text(parts, "Doc_0/Pages.xml"), first_element(part_text(parts, "Doc_0/Document.xml"), "Pages")), "Pages"), "Page")
+    listed = _page_list(parts)
     loaded = F.transform(listed, lambda p, i: F.struct(
         i.alias("page_no"), F.coalesce(F.nullif(attribute(p, "ID"), F.lit("")), F.concat(F.lit("Page_"), i.cast("string"))).alias("id"),
         part_text(parts, F.concat(F.lit("Doc_0/Pages/Page_"), i.cast("string"), F.lit("/Content.xml"))).alias("xml"),
@@ -28,6 +33,16 @@ def _page_rows(docs: DataFrame) -> DataFrame:
     return docs.select("path", F.inline(loaded)).withColumn("xml", F.when(is_valid_xml(F.col("xml")), F.col("xml")))
 
 
+def pages_errors(docs: DataFrame) -> DataFrame:
+    """``(path, part, error)``: packages that do not open or list no pages, and pages whose content is missing or malformed."""
+    parts = F.col("parts")
+    named = _page_list(parts)
+    content = lambda i: F.concat(F.lit("Doc_0/Pages/Page_"), i.cast("string"), F.lit("/Content.xml"))
+    listed = F.transform(named, lambda p, i: F.struct(content(i).alias("part")))
+    none = F.array(fault("Doc_0/Pages.xml", F.when(F.coalesce(F.size(named), F.lit(0)) <= 0, "no pages listed")))
+    return package_errors(docs, none, part_faults(listed, "part", lambda p: part_text(parts, p["part"])))
+
+
 def _or_default(value: Column, default: float) -> Column:
     """Zero and unreadable numbers take the default, as they do in the source rule."""
     return let(value, lambda v: F.when(v.isNull() | (v == 0), F.lit(float(default))).otherwise(v))

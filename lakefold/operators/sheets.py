@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import at, let
 from ..functions.markup import RELS_SCHEMA, leading_float, leading_int, part_struct, part_text, resolve_target
-from ..functions.xmltext import xml_struct
+from ..functions.xmltext import xml_fault, xml_struct
 from ..sources.archive import open_packages
+from .faults import fault, package_errors, part_faults
 
 XLSX_PARTS = r"^xl/(workbook\.xml|_rels/workbook\.xml\.rels|sharedStrings\.xml|styles\.xml|worksheets/[^/]+\.xml)$"
 ET_PARTS = r"^[^/]+\.xml$"
@@ -171,6 +172,16 @@ def cells(books: DataFrame, et: bool = False) -> DataFrame:
     return out.drop("style_idx") if et else out
 
 
+def cells_errors(books: DataFrame, et: bool = False) -> DataFrame:
+    """``(path, part, error)``: packages that do not open, and listed sheets that :func:`cells` passes over."""
+    parts = F.col("parts")
+    book = F.coalesce(part_text(parts, "1.xml"), part_text(parts, "Workbook.xml")) if et else part_text(parts, "xl/workbook.xml")
+    listed = _et_sheet_list(parts) if et else _sheet_list(parts, False)
+    return package_errors(
+        books, F.array(fault("Workbook.xml" if et else "xl/workbook.xml", xml_fault(book))), part_faults(listed, "part", lambda s: part_text(parts, s["part"]))
+    )
+
+
 def shown_value() -> Column:
     """One text column out of the tagged values."""
     return F.coalesce("v_string", F.col("v_double").cast("string"), F.col("v_bool").cast("string"))

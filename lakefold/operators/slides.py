@@ -10,8 +10,9 @@ from ..functions.markup import (
     RELS_SCHEMA, attribute, elements, first_element, has_element, leading_int, part, part_struct, part_text, resolve_target, text_content, texts_of,
 )
 from ..functions.scalars import emu_to_px
-from ..functions.xmltext import is_valid_xml, xml_text
+from ..functions.xmltext import is_valid_xml, xml_fault, xml_text
 from ..sources.archive import open_packages
+from .faults import fault, package_errors, part_faults
 from .sheets import _strings
 
 PPTX_PARTS = r"^(docProps/app\.xml|ppt/presentation\.xml|ppt/_rels/presentation\.xml\.rels|ppt/slides/([^/]+\.xml|_rels/[^/]+\.rels))$"
@@ -76,6 +77,15 @@ def _slide_rows(decks: DataFrame, max_slides: int | None = None, rels: bool = Fa
     return rows.withColumn("xml", F.when(is_valid_xml(F.col("xml")), F.col("xml")))
 
 
+def slides_errors(decks: DataFrame) -> DataFrame:
+    """``(path, part, error)``: packages that do not open, and listed slides whose part is missing or malformed."""
+    parts = F.col("parts")
+    return package_errors(
+        decks, F.array(fault("ppt/presentation.xml", xml_fault(part_text(parts, "ppt/presentation.xml")))),
+        part_faults(_slide_list(parts), "part", lambda s: part_text(parts, s["part"])),
+    )
+
+
 def first_n_slides(decks: DataFrame, max_slides: int) -> DataFrame:
     """``(path, slide_no, id, element_count, total_slides, loaded_slides)`` of the leading slides.
 
@@ -195,6 +205,13 @@ def _dps_rows(decks: DataFrame, extra: dict[str, Column] | None = None) -> DataF
     return rows.filter(is_valid_xml(F.col("xml")))
 
 
+def dps_errors(decks: DataFrame) -> DataFrame:
+    """``(path, part, error)``: packages that do not open, and listed slides whose part is missing or malformed."""
+    parts = F.col("parts")
+    deck = F.coalesce(part_text(parts, "Presentation.xml"), part_text(parts, "1.xml"))
+    return package_errors(decks, F.array(fault("Presentation.xml", xml_fault(deck))), part_faults(_dps_list(parts), "part", lambda s: part_text(parts, s["part"])))
+
+
 def dps_texts(decks: DataFrame) -> DataFrame:
     """``(path, slide_no, text_no, content)``: ``#n`` texts come from the shared strings when there are any."""
     rows = _dps_rows(decks, {"strings": _strings(F.col("parts"), "SharedStrings.xml")})

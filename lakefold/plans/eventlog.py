@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import events as OE
 from ..streaming import events as SE
 from ..streaming.ingest import detect_stream
-from ..sources.files import stream_files
+from ..sources.files import stream_paths
 from .tables import query, table
 
 CHUNK = 86400  # one day keeps the test table's chunks non-trivial
@@ -204,6 +204,6 @@ def delivered_events_stream(spark, sf):
 )
 def detect_stream_query(spark, sf):
     """The table files arriving as a stream: none has a registered extension or signature."""
-    found = detect_stream(stream_files(spark, sf, glob="*.parquet"))
+    found = detect_stream(stream_paths(spark, sf, glob="*.parquet"))
     out = SE.run_available(found)
     return out.select(F.element_at(F.split("path", "/"), -1).alias("name"), "type", "family")

@@ -333,6 +333,19 @@ def pdf_documents(docs: DataFrame) -> DataFrame:
     return docs.select(cat("d", F.col("doc_id"), ".pdf").alias("path"), "text", "source").mapInArrow(run, "path STRING, content BINARY")
 
 
+def mixed_lake(docs: DataFrame) -> DataFrame:
+    """``files(path, length, content)`` of nine kinds, one per document: text formats, packages (some damaged), and files nobody reads."""
+    kind = F.col("doc_id") % 9
+    of = lambda k: docs.where(kind == k)
+    plain = docs.where(kind > 1).select(
+        cat("d", F.col("doc_id"), F.element_at(F.array(*[F.lit(e) for e in (".json", ".csv", ".txt", "", ".json", ".lake", ".xyz")]), (kind - 1).cast("int"))).alias("path"),
+        F.when(kind == 2, F.to_json(F.struct("lang", "source"))).when(kind == 3, cat("lang,source\n", F.col("lang"), ",", F.col("source"), "\n"))
+        .when(kind == 5, cat("LAKE", F.col("text"))).when(kind == 6, cat("{", F.col("source"))).otherwise(F.col("text")).cast("binary").alias("content"),
+    )
+    files = xlsx_documents(of(0)).unionByName(epub_documents(of(1))).unionByName(plain)
+    return files.withColumn("length", F.octet_length("content").cast("bigint"))
+
+
 def as_files(rows: DataFrame) -> DataFrame:
     """Hand built bytes over as if a scan had read them: the optimizer must not fold their construction into the parsers."""
     return rows.mapInArrow(lambda batches: batches, rows.schema)

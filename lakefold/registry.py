@@ -120,28 +120,65 @@ def lookup(key: Column, mapping: dict[str, str], default: str | None = None) ->
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+#: A parser takes ``files(path, length, content, ...)`` of one type and gives rows with ``path``; rows whose ``error``
+#: column is not null become error rows.
+Parser = Callable[[DataFrame], DataFrame]
+
+
 class FormatRegistry:
-    """Extension rows plus the parser registered for each; extend it without touching the operators."""
+    """Extension rows, signatures, families, and the parser of each type; extend it without touching the operators."""
 
-    def __init__(self) -> None:
+    def __init__(self, parsers: dict[str, Parser] | None = None) -> None:
         self._category = {ext: cat for cat, exts in CATEGORIES.items() for ext in exts}
         self._category.update({ext: "code" for ext in CODE_LANGUAGES if ext not in self._category})
-        self.parsers: dict[str, Callable[[DataFrame], DataFrame]] = {}
-
-    def register_format(self, ext: str, category: str, parser: Callable[[DataFrame], DataFrame] | None = None) -> None:
-        self._category[ext.lower()] = category
+        self._family: dict[str, str] = {}
+        for family, extensions in ROUTES:
+            for ext in extensions:
+                self._family.setdefault(ext, family)
+        self.magic = list(MAGIC)
+        self.parsers: dict[str, Parser] = {}
+        for ext, parser in (parsers or {}).items():
+            self.register_parser(ext, parser)
+
+    def register_format(self, ext: str, category: str, parser: Parser | None = None, magic: str | None = None) -> None:
+        """Add a type; ``magic`` (leading bytes in hex) tells files without a known extension."""
+        ext = ext.lower()
+        self._category[ext] = category
+        self._family.setdefault(ext, category)
+        if magic is not None:
+            self.magic.insert(0, (ext, magic.upper()))
         if parser is not None:
-            self.parsers[ext.lower()] = parser
+            self.parsers[ext] = parser
 
-    def register_parser(self, ext: str, parser: Callable[[DataFrame], DataFrame]) -> None:
+    def register_parser(self, ext: str, parser: Parser) -> None:
         """Attach a parser to a supported type; unsupported types are refused."""
-        if ext not in self._category:
+        if not self.is_supported(ext):
             raise ValueError(f"unsupported type: {ext}")
         self.parsers[ext] = parser
 
+    def register_parsers(self, parsers: dict[str, Parser]) -> None:
+        for ext, parser in parsers.items():
+            self.register_parser(ext, parser)
+
     def unregister(self, ext: str) -> None:
         self.parsers.pop(ext, None)
 
+    def is_registered(self, ext: str) -> bool:
+        return ext in self.parsers
+
+    def is_supported(self, ext: str) -> bool:
+        return ext in self._category or ext in {name for name, _ in self.magic}
+
+    def registered_types(self) -> list[str]:
+        return sorted(self.parsers)
+
+    def extensions(self) -> list[str]:
+        """Extensions that detection by name knows; code languages are opened as text, not detected."""
+        return [ext for ext, category in self._category.items() if category != "code"]
+
+    def families(self) -> dict[str, str]:
+        return dict(self._family)
+
     def frame(self, spark: SparkSession) -> DataFrame:
         """``format_registry(ext, category)``: a few dozen rows, bounded by this object's own literals."""
         return spark.createDataFrame(sorted(self._category.items()), "ext STRING, category STRING")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from ..functions.jsontext import is_valid_json
 from ..functions.scalars import basename, file_ext
 from ..functions.xmltext import is_valid_xml
 from ..registry import SIZE_LIMIT
+from .ranged import file_headers  # noqa: F401 - part of this module's interface
 
 FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -32,33 +30,6 @@ def scan_files(spark: SparkSession, path: str | list[str], glob: str | None = No
     return files if max_size is None else files.filter(F.col("length") <= max_size)
 
 
-def file_headers(files: DataFrame, n: int = 16) -> DataFrame:
-    """Add ``header``, the first ``n`` bytes, reading only those bytes of each path.
-
-    ``binaryFile`` always loads whole contents; for header-only jobs over large files this stage
-    opens each path instead.  Unreadable paths get a null header.
-    """
-    source = files.select("path", "length")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from urllib.parse import quote
-
-        from pyarrow import fs
-
-        for batch in batches:
-            heads = []
-            for uri in batch.column("path").to_pylist():
-                try:
-                    store, inner = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
-                    with store.open_input_stream(inner) as stream:
-                        heads.append(stream.read(n))
-                except (OSError, pa.ArrowInvalid):
-                    heads.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], ["path", "length", "header"])
-
-    return source.mapInArrow(read, "path STRING, length BIGINT, header BINARY")
-
-
 def stream_files(spark: SparkSession, path: str, files_per_trigger: int = 1000, glob: str | None = None) -> DataFrame:
     """Arriving files as a stream with the same schema as :func:`scan_files`."""
     reader = (
@@ -70,6 +41,11 @@ def stream_files(spark: SparkSession, path: str, files_per_trigger: int = 1000,
     return reader.load(path)
 
 
+def stream_paths(spark: SparkSession, path: str, files_per_trigger: int = 1000, glob: str | None = None) -> DataFrame:
+    """Arriving files as ``(path, modificationTime, length)``: no content is opened, so files of any size pass."""
+    return stream_files(spark, path, files_per_trigger, glob).drop("content")
+
+
 def file_name(path: Column) -> Column:
     return basename(path)
 
