@@ -31,13 +31,24 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
+def stored(frame: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``frame`` written once to the shared folder and read back: its lineage is cut, its rows are fixed."""
+    return stored_at(frame, name, compression)[0]
+
+
+def stored_at(frame: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
+    """As ``stored``, and the folder, for tables that can be discarded before the job ends."""
     spark = frame.sparkSession
     path = shared_folder(spark, name)
     with small_batches(spark):
-        frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+        frame.write.option("compression", compression).parquet(path)
+    return spark.read.schema(frame.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stored table that no later job reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def open_fs(uri: str):

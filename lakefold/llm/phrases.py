@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import discard, stored, stored_at
 from .words import BLANKS, Words, buffers, joined, joined_bytes, slices, span_hashes
 
 WIDTH = 13
@@ -258,8 +258,9 @@ def remove_repeats(
     long, string = T.LongType(), T.StringType()
     anchors = texts.select("key", "text").mapInArrow(_list_anchors(width), schema(("anchor", long), ("key", kind)))
     counted = anchors.groupBy("anchor").agg(F.min("key").alias("least"), F.max("key").alias("greatest"), F.count("*").alias("places"))
-    shared = stored(counted.where("least < greatest").select("anchor", (F.col("places") >= hot).alias("hot")), "anchors")
+    shared, folder = stored_at(counted.where("least < greatest").select("anchor", (F.col("places") >= hot).alias("hot")), "anchors")
     marks = spark.sparkContext.broadcast((_bitmap(shared, filter_bits), _bitmap(shared.where("hot"), filter_bits)))
+    discard(spark, folder)
 
     types = {"shard": long, "piece": long, "text": string, "start": long, "key": kind, "row": long}
 
@@ -267,7 +268,8 @@ def remove_repeats(
         return texts.mapInArrow(_cut_pieces(marks, width, filter_bits, list(columns)), schema(*((c, types[c]) for c in columns)))
 
     distinct = pieces("shard", "piece", "text", "key").groupBy("shard", "piece", "text")
-    distinct = stored(distinct.agg(F.min("key").alias("key"), F.max("key").alias("last"), F.count("*").alias("places")), "pieces")
+    merged = distinct.agg(F.min("key").alias("key"), F.max("key").alias("last"), F.count("*").alias("places"))
+    distinct = stored(merged.sortWithinPartitions("shard", "text"), "pieces", "zstd")  # neighbours are alike and pack well
 
     sizes = distinct.groupBy("shard").agg(F.sum("places").alias("places"))
     share = max(1000, (distinct.agg(F.sum("places")).first()[0] or 0) // 1000)
