@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import registry as R
 from ..functions.arrays import let
-from ..functions.markup import leading_float
 from ..functions.text import latin1, lines_of, trim_space
 
-_NUMBER = "([-+]?[\\d.]+)"
-_BOX = "/MediaBox\\s*\\[\\s*" + "\\s+".join([_NUMBER] * 4)
 _LITERAL = "\\s*(\\((?:[^()\\\\]|\\\\.)*+\\))"
 
 
@@ -36,36 +33,32 @@ def _trailer(text: Column) -> Column:
     return F.array_join(F.concat(F.filter(streams, lambda d: d.rlike("/Type\\s*/XRef\\b")), tables), "\n")
 
 
-def _pages(objects: DataFrame) -> DataFrame:
-    return objects.filter("page_no IS NOT NULL")
+def pdf_pages(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(path, page_no, width, height)`` and the columns to ``keep``, 612 by 792 where neither the page nor a node above it states a box."""
+    side = lambda k: F.floor(F.get("box", F.lit(k + 2)) - F.get("box", F.lit(k)) + 0.5)
+    return pages.filter("page_no IS NOT NULL").select(
+        "path", "page_no", F.coalesce(side(0), F.lit(612)).cast("int").alias("width"), F.coalesce(side(1), F.lit(792)).cast("int").alias("height"), *keep
+    )
 
 
-def pdf_pages(objects: DataFrame) -> DataFrame:
-    """``(path, page_no, width, height)``, 612 by 792 without a media box."""
-    side = lambda k: leading_float(F.regexp_extract("body", _BOX, k))
-    return _pages(objects).select(
-        "path", "page_no", F.coalesce(F.floor(side(3) - side(1) + 0.5), F.lit(612)).cast("int").alias("width"),
-        F.coalesce(F.floor(side(4) - side(2) + 0.5), F.lit(792)).cast("int").alias("height"),
-    )
+def pdf_page_contents(pages: DataFrame) -> DataFrame:
+    """``(path, page_no, contents)``: the page's streams in order, each of a list followed by a line feed."""
+    return pages.filter("page_no IS NOT NULL").select("path", "page_no", "contents")
 
 
-def pdf_page_contents(objects: DataFrame) -> DataFrame:
-    """``(path, page_no, contents)``: the page's streams in order, each of a list followed by a line feed.
+def pdf_errors(pages: DataFrame) -> DataFrame:
+    """``(path, page_no, error)`` of files that are no PDF and of pages whose content is damaged."""
+    return pages.filter("error IS NOT NULL").select("path", "page_no", "error")
 
-    Page references meet the streams in an equi-join on (file, object number).
-    """
-    single = F.regexp_extract("body", "/Contents\\s+(\\d+)\\s+\\d+\\s+R", 1)
-    listed = F.regexp_extract("body", "/Contents\\s*\\[([^\\]]*)\\]", 1)
-    refs = F.when(single != "", F.array(single)).otherwise(F.regexp_extract_all(listed, F.lit("(\\d+)\\s+\\d+\\s+R"), F.lit(1)))
-    wanted = _pages(objects).select("path", "page_no", (single == "").alias("many"), F.posexplode_outer(refs).alias("pos", "ref")).withColumn(
-        "obj_no", F.col("ref").cast("int")
-    )
-    streams = objects.filter("stream IS NOT NULL").select("path", "obj_no", "stream")
-    joined = wanted.join(streams, ["path", "obj_no"], "left")
-    piece = F.concat(F.coalesce("stream", F.lit("")), F.when(F.col("many") & F.col("pos").isNotNull(), "\n").otherwise(""))
-    return joined.groupBy("path", "page_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("t")))), lambda s: s["t"]), "").alias("contents")
-    )
+
+def pdf_shown_text(operations: DataFrame) -> DataFrame:
+    """``(path, page_no, op_no, op, text, font, font_size, x, y)`` of every operator that shows text."""
+    return operations.filter(F.col("op").isin("Tj", "TJ", "'", '"')).select("path", "page_no", "op_no", "op", "text", "font", "font_size", "x", "y")
+
+
+def pdf_drawn_objects(operations: DataFrame) -> DataFrame:
+    """``(path, page_no, op_no, name)`` of drawn external objects; inline images have no name."""
+    return operations.filter(F.col("op").isin("Do", "BI")).select("path", "page_no", "op_no", "name")
 
 
 def pdf_string(text: Column) -> Column:
@@ -88,7 +81,10 @@ def _content_lines(contents: DataFrame) -> DataFrame:
 
 
 def pdf_text_ops(contents: DataFrame, arrays: bool = False) -> DataFrame:
-    """``(path, page_no, line_no, text)`` of lines that show text; ``arrays`` adds ``TJ`` lists."""
+    """``(path, page_no, line_no, text)`` of lines that end in ``Tj``; ``arrays`` adds ``TJ`` lists.
+
+    The line rule of simple files; :func:`pdf_shown_text` reads operators anywhere on a line.
+    """
     lines = _content_lines(contents)
     shown = F.when(F.col("line").endswith("Tj"), pdf_string(trim_space(F.expr("substring(line, 1, length(line) - 2)"))))
     if arrays:
@@ -98,7 +94,7 @@ def pdf_text_ops(contents: DataFrame, arrays: bool = False) -> DataFrame:
 
 
 def pdf_image_ops(contents: DataFrame) -> DataFrame:
-    """``(path, page_no, line_no, name)`` of lines that draw an external object."""
+    """``(path, page_no, line_no, name)`` of lines that end in drawing an external object, by the same line rule."""
     words = F.split("line", "\\s+")
     return _content_lines(contents).filter(F.col("line").endswith("Do")).select(
         "path", "page_no", "line_no", F.get(words, F.size(words) - 2).alias("name")
@@ -110,15 +106,11 @@ _INFO = [("Title", "title"), ("Author", "author"), ("Subject", "subject"), ("Key
          ("Producer", "producer"), ("CreationDate", "creation_date"), ("ModDate", "mod_date")]
 
 
-def pdf_info(files: DataFrame, objects: DataFrame) -> DataFrame:
+def pdf_info(documents: DataFrame) -> DataFrame:
     """Information dictionary and page count per file; empty strings where nothing is stated."""
-    named = F.regexp_extract_all(_trailer(latin1(F.col("content"))), F.lit("/Info\\s+(\\d+)\\s+\\d+\\s+R"), F.lit(1))
-    refs = files.select("path", F.element_at(F.when(F.size(named) > 0, named), -1).try_cast("int").alias("obj_no"))
-    info = refs.join(objects.select("path", "obj_no", "body"), ["path", "obj_no"], "left")
-    counts = objects.groupBy("path").agg(F.count("page_no").alias("page_count"))
-    return info.join(counts, "path").select(
-        "path", "page_count",
-        *[F.coalesce(pdf_string(F.regexp_extract("body", f"/{key}{_LITERAL}", 1)), F.lit("")).alias(name) for key, name in _INFO],
+    return documents.filter("error IS NULL").select(
+        "path", F.col("page_count").cast("bigint").alias("page_count"),
+        *[F.coalesce(pdf_string(F.regexp_extract("info", f"/{key}{_LITERAL}", 1)), F.lit("")).alias(name) for key, name in _INFO],
     )
 
 

@@ -17,12 +17,12 @@ from . import registry as R
 from .functions import image as image_fn
 from .functions.formats import file_header, first_match, known_ext
 from .functions.scalars import basename
-from .operators import docs, epub, media, ofd, pdf, sheets, slides, text
+from .operators import docs, epub, media, ofd, sheets, slides, text
 from .operators.detect import decode_text, detect_encoding
 from .registry import FormatRegistry, Parser
 from .sources import files as SF
 from .sources.archive import archive_entries
-from .sources.pdf import pdf_objects
+from .sources.pdfcontent import pdf_operations
 
 ERRORS = "errors"
 
@@ -62,8 +62,7 @@ def _rtf(files: DataFrame) -> DataFrame:
 
 
 def _pdf(files: DataFrame) -> DataFrame:
-    objects = pdf_objects(files)
-    return _with_errors(pdf.pdf_text_ops(pdf.pdf_page_contents(objects)), objects.where("error IS NOT NULL").select("path", "obj_no", "error"))
+    return pdf_operations(files)
 
 
 def _image(files: DataFrame) -> DataFrame:

@@ -333,6 +333,60 @@ def pdf_documents(docs: DataFrame) -> DataFrame:
     return docs.select(cat("d", F.col("doc_id"), ".pdf").alias("path"), "text", "source").mapInArrow(run, "path STRING, content BINARY")
 
 
+def _dense_pdf(path: str, lines: list[str]) -> bytes:
+    """A page per line, its whole program on one line, under a two-level page tree whose nodes state boxes and a rotation.
+
+    Every third page has a box of its own, the second half takes its node's box by reference.  The first page's old
+    version is a plain object, its newer one lies in an object stream.  Files whose number ends in 7 have a last page
+    whose compressed content ends early.
+    """
+    import zlib
+
+    objects: list[tuple[int, bytes]] = []
+    n, half = 10, (len(lines) + 1) // 2
+    pages = []
+    for k, line in enumerate(lines):
+        word = line.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode("latin-1", "replace")
+        program = b"BT /F1 12 Tf 10 20 Td (%s) Tj 14 TL (b(2)) ' 1 2 (c) \" [(d) -20 <65 66>] TJ ET q /Im1 Do Q BI /W 1 /H 1 ID (x) Tj EI" % word
+        data = zlib.compress(program) if k % 2 else program
+        objects.append((n + 1, b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(data), b" /Filter /FlateDecode" if k % 2 else b"", data)))
+        box = b" /MediaBox [ 0 0 %d 70 ]" % (50 + k) if k % 3 == 2 else b""
+        objects.append((n, b"<< /Type /Page /Parent %d 0 R%s /Contents %d 0 R >>" % (2 if k < half else 3, box, n + 1)))
+        pages.append(n)
+        n += 2
+    if path.split(".")[0].endswith("7"):
+        data = zlib.compress(b"(kept) Tj " + b" " * 4000, 0)[:2000]
+        objects += [(n, b"<< /Type /Page /Contents %d 0 R >>" % (n + 1)), (n + 1, b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(data), data))]
+        pages.append(n)
+        n += 2
+    refs = lambda nodes: b" ".join(b"%d 0 R" % p for p in nodes)
+    first = dict(objects)[10]
+    packed = zlib.compress(b"10 0 5 %d " % (len(first) + 1) + first + b"\n<< /S /T >>")
+    start = len(b"10 0 5 %d " % (len(first) + 1))
+    head = [
+        (1, b"<< /Type /Catalog /Pages 4 0 R >>"), (4, b"<< /Type /Pages /Kids [ 2 0 R 3 0 R ] /MediaBox [0 0 300 500.4] /Rotate 90 >>"),
+        (2, b"<< /Type /Pages /Parent 4 0 R /Kids [%s] /Resources << /Font << /F1 7 0 R >> >> >>" % refs(pages[:half])),
+        (3, b"<< /Type /Pages /Parent 4 0 R /Kids [%s] /MediaBox 6 0 R /Rotate 0 >>" % refs(pages[half:])), (6, b"[ 10 10 210 410 ]"),
+        (10, b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 9 9] /Contents 11 0 R >>"),
+    ]
+    out = bytearray(b"%PDF-1.7\n")
+    for number, body in head + [o for o in objects if o[0] != 10]:
+        out += b"%d 0 obj\n%s\nendobj\n" % (number, body)
+    out += b"8 0 obj\n<< /Type /ObjStm /N 2 /First %d /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream\nendobj\n" % (start, len(packed), packed)
+    return bytes(out + b"trailer\n<< /Root 1 0 R >>\nstartxref\n0\n%%EOF\n")
+
+
+def dense_pdfs(docs: DataFrame) -> DataFrame:
+    """PDF per document by :func:`_dense_pdf`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_dense_pdf(p, t.split("\n")) for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(made, pa.binary())], ["path", "content"])
+
+    return docs.select(cat("d", F.col("doc_id"), ".pdf").alias("path"), "text").mapInArrow(run, "path STRING, content BINARY")
+
+
 def mixed_lake(docs: DataFrame) -> DataFrame:
     """``files(path, length, content)`` of nine kinds, one per document: text formats, packages (some damaged), and files nobody reads."""
     kind = F.col("doc_id") % 9

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import epub as OE
 from ..operators import ofd as OO
 from ..operators import pdf as OF
-from ..sources.pdf import pdf_objects, pdf_streams
+from ..sources.pdf import pdf_document_rows, pdf_objects, pdf_page_rows, pdf_streams
+from ..sources.pdfcontent import pdf_operations
 from . import fixtures as X
 from .tables import query, table
 
@@ -150,7 +151,7 @@ def pdf_profile(spark, sf):
 
 @query("pdf_pages", f"WITH {_PDF} SELECT DISTINCT path, i // 10 + 1 AS page_no, CASE WHEN i // 10 % 2 = 1 THEN 100 + i // 10 ELSE 612 END AS width, CASE WHEN i // 10 % 2 = 1 THEN 400 ELSE 792 END AS height FROM l")
 def pdf_pages(spark, sf):
-    return OF.pdf_pages(pdf_objects(_pdfs(spark, sf)))
+    return OF.pdf_pages(pdf_page_rows(_pdfs(spark, sf)))
 
 
 # characters outside Latin-1 were replaced when the files were written
@@ -159,7 +160,7 @@ _LATIN = "regexp_replace(line, '[^\\x00-\\xff]', '?', 'g')"
 
 @query("pdf_text_ops", f"WITH {_PDF} SELECT path, i // 10 + 1 AS page_no, i % 10 + 2 AS line_no, {_LATIN} AS text FROM l")
 def pdf_text_ops(spark, sf):
-    return OF.pdf_text_ops(OF.pdf_page_contents(pdf_objects(_pdfs(spark, sf))))
+    return OF.pdf_text_ops(OF.pdf_page_contents(pdf_page_rows(_pdfs(spark, sf))))
 
 
 @query(
@@ -170,13 +171,13 @@ def pdf_text_ops(spark, sf):
 )
 def pdf_text_arrays(spark, sf):
     """Text lists, which only the ``arrays`` option reads."""
-    contents = OF.pdf_page_contents(pdf_objects(_pdfs(spark, sf)))
+    contents = OF.pdf_page_contents(pdf_page_rows(_pdfs(spark, sf)))
     return OF.pdf_text_ops(contents, arrays=True).join(OF.pdf_text_ops(contents), ["path", "page_no", "line_no"], "left_anti")
 
 
 @query("pdf_image_ops", f"WITH {_PDF} SELECT path, page_no, lines + 3 AS line_no, '/Im1' AS name FROM (SELECT path, i // 10 + 1 AS page_no, count(*) AS lines FROM l GROUP BY ALL) WHERE page_no % 2 = 0")
 def pdf_image_ops(spark, sf):
-    return OF.pdf_image_ops(OF.pdf_page_contents(pdf_objects(_pdfs(spark, sf))))
+    return OF.pdf_image_ops(OF.pdf_page_contents(pdf_page_rows(_pdfs(spark, sf))))
 
 
 @query(
@@ -209,7 +210,7 @@ def pdf_streams_query(spark, sf):
     """,
 )
 def pdf_page_contents(spark, sf):
-    return OF.pdf_page_contents(pdf_objects(_pdfs(spark, sf)))
+    return OF.pdf_page_contents(pdf_page_rows(_pdfs(spark, sf)))
 
 
 @query(
@@ -219,8 +220,7 @@ def pdf_page_contents(spark, sf):
     """,
 )
 def pdf_info(spark, sf):
-    files = _pdfs(spark, sf)
-    return OF.pdf_info(files, pdf_objects(files))
+    return OF.pdf_info(pdf_document_rows(_pdfs(spark, sf)))
 
 
 @query(
@@ -231,4 +231,57 @@ def pdf_info(spark, sf):
     """,
 )
 def pdf_fonts(spark, sf):
-    return OF.pdf_fonts(pdf_objects(_pdfs(spark, sf))).drop("obj_no")
+    return OF.pdf_fonts(pdf_objects(_pdfs(spark, sf), "/Type\\s*/Font\\b", streams=False)).drop("obj_no")
+
+
+# ------------------------------------------------------------------ PDF programs on one line
+
+
+def _dense(spark, sf):
+    return X.dense_pdfs(_docs(spark, sf))
+
+
+_CUT = "SELECT path, len(ls) AS i FROM g WHERE doc_id % 10 = 7"
+
+
+@query(
+    "pdf_shown_text",
+    f"""
+    WITH {_PDF} SELECT path, i + 1 AS page_no, v.o AS op_no, v.op, CASE WHEN v.o = 3 THEN {_LATIN} ELSE v.t END AS text, 'F1' AS font, 12 AS font_size, 10 AS x, v.y
+    FROM l, (VALUES (3, 'Tj', '', 20), (5, '''', 'b(2)', 6), (6, '"', 'c', -8), (7, 'TJ', 'def', -8)) v(o, op, t, y)
+    UNION ALL SELECT path, i + 1, 0, 'Tj', 'kept', NULL, NULL, 0, 0 FROM ({_CUT})
+    """,
+)
+def pdf_shown_text(spark, sf):
+    """All four text operators of programs that stand on one line, with their text state."""
+    return OF.pdf_shown_text(pdf_operations(_dense(spark, sf)))
+
+
+@query("pdf_drawn_objects", f"WITH {_PDF} SELECT path, i + 1 AS page_no, v.o AS op_no, v.n AS name FROM l, (VALUES (10, 'Im1'), (12, NULL)) v(o, n)")
+def pdf_drawn_objects(spark, sf):
+    return OF.pdf_drawn_objects(pdf_operations(_dense(spark, sf)))
+
+
+_HALF = "i >= (n + 1) // 2"
+
+
+@query(
+    "pdf_inherited_pages",
+    f"""
+    WITH {_PDF}, p AS (SELECT path, i, n FROM l UNION ALL SELECT c.path, c.i, c.i FROM ({_CUT}) c)
+    SELECT path, i + 1 AS page_no, CASE WHEN i < n AND i % 3 = 2 THEN 50 + i WHEN {_HALF} THEN 200 ELSE 300 END AS width,
+      CASE WHEN i < n AND i % 3 = 2 THEN 70 WHEN {_HALF} THEN 400 ELSE 500 END AS height, CASE WHEN {_HALF} THEN 0 ELSE 90 END AS rotate, NOT ({_HALF}) AS has_font FROM p
+    """,
+)
+def pdf_inherited_pages(spark, sf):
+    """Boxes, rotation and resources stated by nodes above the pages, by reference, and by newer object versions."""
+    pages = OF.pdf_pages(pdf_page_rows(_dense(spark, sf)), ("rotate", "resources"))
+    return pages.withColumn("has_font", F.coalesce(F.contains("resources", F.lit("/F1 7 0 R")), F.lit(False))).drop("resources")
+
+
+@query("pdf_errors", f"WITH {_PDF} SELECT path, i + 1 AS page_no, 'zlib: stream ends early' AS error FROM ({_CUT}) UNION ALL SELECT 'x' || doc_id, NULL, 'not a PDF file' FROM documents WHERE doc_id % 4 = 0")
+def pdf_errors(spark, sf):
+    """Content streams that end early, and files that are no PDF."""
+    other = _docs(spark, sf).where("doc_id % 4 = 0").select(X.cat("x", F.col("doc_id")).alias("path"), F.lit("plain").cast("binary").alias("content"))
+    errors = OF.pdf_errors(pdf_page_rows(_dense(spark, sf).unionByName(other)))
+    return errors.withColumn("error", F.regexp_replace("error", ",.*$", ""))

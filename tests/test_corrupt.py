@@ -9,7 +9,8 @@ from lakefold.operators.detect import decode_text, detect_encoding
 from lakefold.plans import fixtures as X
 from lakefold.sources.archive import archive_entries, archive_parts
 from lakefold.sources.mp4 import mp4_boxes
-from lakefold.sources.pdf import pdf_objects
+from lakefold.sources.pdf import pdf_document_rows, pdf_objects, pdf_page_rows
+from lakefold.sources.pdfcontent import pdf_operations
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,7 +45,7 @@ def test_containers(bad):
     lambda f: sheets.cells(sheets.open_workbooks(f)), lambda f: sheets.cells(sheets.open_et(f), et=True), lambda f: docs.docx_html(docs.open_documents(f)),
     lambda f: docs.wps_content(docs.open_wps(f)), lambda f: slides.slide_text_runs(slides.open_presentations(f)), lambda f: slides.dps_texts(slides.open_dps(f)),
     lambda f: epub.epub_chapters(epub.open_books(f)), lambda f: epub.epub_toc(epub.open_books(f)), lambda f: ofd.ofd_elements(ofd.open_ofd(f)),
-    lambda f: pdf.pdf_text_ops(pdf.pdf_page_contents(pdf_objects(f))), lambda f: pdf.pdf_info(f, pdf_objects(f)), lambda f: OM.media_profile(f), lambda f: OM.image_info(f), mp4_boxes,
+    lambda f: pdf.pdf_text_ops(pdf.pdf_page_contents(pdf_page_rows(f))), lambda f: pdf.pdf_info(pdf_document_rows(f)), pdf_objects, pdf_operations, lambda f: OM.media_profile(f), lambda f: OM.image_info(f), mp4_boxes,
     lambda f: f.select(formats.detect_type(F.col("path"), F.col("content")), formats.detect_image(F.col("content")), media.wav_header(F.col("content")), media.id3v2(F.col("content")),
                        media.mp3_frame(F.col("content")), image.bmp_header(F.col("content")), image.bmp_palette(F.col("content")), image.psd_header(F.col("content"))),
     lambda f: f.select(decode_text(F.col("content"), detect_encoding(F.col("content")))), lambda f: f.select(pdf.pdf_profile(F.col("content"))),
