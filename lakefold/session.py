@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "lakefold", cores: str | int = "*", **conf: str) -> SparkSession:
@@ -38,3 +39,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="lakefold-checkpoint-")
     spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` written once below the checkpoint folder and read back: row placements and lineage are fixed."""
+    path = f"{ensure_checkpoint_dir(frame.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -63,6 +63,28 @@ def test_debounce(events, log, wait, chunk):
     assert {r.id for r in OE.debounce(events, ["key"], "ts", "id", wait, chunk).collect()} == want
 
 
+@pytest.fixture(scope="module")
+def burst():
+    """Half of all rows are one key's within one hour, many at the same time."""
+    rnd = random.Random(8)
+    rows = [("hot", START + timedelta(seconds=rnd.randrange(40), microseconds=rnd.randrange(2) * 500000), i, rnd.choice("abc")) for i in range(2000)]
+    rows += [(f"k{rnd.randrange(40)}", START + timedelta(seconds=rnd.randrange(90000)), 2000 + i, rnd.choice("abc")) for i in range(2000)]
+    return sorted(rows, key=lambda r: (r[1], r[2]))
+
+
+def test_burst_in_one_chunk(spark, burst):
+    frame = spark.createDataFrame(burst, "key STRING, ts TIMESTAMP, id BIGINT, value STRING").repartition(4).cache()
+    sizes = OE.in_segments(frame, ["key"], "ts", "id", 3600, 100).groupBy("key", "_chunk").count().orderBy(F.desc("count")).collect()
+    assert sum(r["count"] for r in sizes) == len(burst) and sizes[0]["count"] <= 250 and sum(r.key == "hot" for r in sizes) >= 15
+    want = {r[2]: (rows[i - 1][3] if i else None, r[3]) for rows in by_key(burst).values() for i, r in enumerate(rows)}
+    assert {r.id: (r.old_value, r.new_value) for r in OE.state_changes(frame, "key", "ts", "id", "value", segment_rows=100).collect()} == want
+    for limit in (1, 7, 60, 900):
+        assert {r.id for r in OE.throttle(frame, "key", "ts", "id", limit, segment_rows=100).collect()} == throttled(burst, limit)
+    for wait in (1, 60):
+        kept = {r[2] for rows in by_key(burst).values() for i, r in enumerate(rows) if i + 1 == len(rows) or rows[i + 1][1] - r[1] >= timedelta(seconds=wait)}
+        assert {r.id for r in OE.debounce(frame, ["key"], "ts", "id", wait, segment_rows=100).collect()} == kept
+
+
 @pytest.mark.parametrize("bucket", [60, 5000, 86400])
 def test_delivered(spark, events, log, bucket):
     rnd = random.Random(9)
