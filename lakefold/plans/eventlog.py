@@ -124,6 +124,42 @@ def load_progress(spark, sf):
     return OE.load_progress(_events(spark, sf), "user_id", "ts", "event_id", "event_type", "value")
 
 
+# half of the log is one key's within one hour, many rows at the same time
+_BURST = """b AS (SELECT CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END AS k, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-01-01' + to_seconds(event_id % 3600) ELSE ts END AS t,
+    event_id, event_type FROM events)"""
+
+
+def _burst(spark, sf):
+    even = F.col("event_id") % 2 == 0
+    return _events(spark, sf).select(
+        F.when(even, F.lit(-1)).otherwise(F.col("user_id")).cast("bigint").alias("k"),
+        F.when(even, F.timestamp_seconds(F.lit(1704067200) + F.col("event_id") % 3600)).otherwise(F.col("ts").cast("timestamp")).alias("t"), "event_id", "event_type")
+
+
+@query("state_changes_burst", f"WITH {_BURST} SELECT event_id, lag(event_type) OVER (PARTITION BY k ORDER BY t, event_id) AS old_value, event_type AS new_value FROM b")
+def state_changes_burst(spark, sf):
+    return OE.state_changes(_burst(spark, sf), "k", "t", "event_id", "event_type", segment_rows=500).select("event_id", "old_value", "new_value")
+
+
+@query("debounce_burst", f"WITH {_BURST} SELECT event_id FROM b WINDOW w AS (PARTITION BY k ORDER BY t, event_id) QUALIFY coalesce(lead(t) OVER w - t >= INTERVAL 1 SECOND, true)")
+def debounce_burst(spark, sf):
+    return OE.debounce(_burst(spark, sf), ["k"], "t", "event_id", 1, segment_rows=500).select("event_id")
+
+
+@query(
+    "throttle_burst",
+    f"""
+    WITH RECURSIVE {_BURST}, chain AS (
+      SELECT k, min(t) AS t FROM b GROUP BY k
+      UNION ALL
+      SELECT c.k, (SELECT min(e.t) FROM b e WHERE e.k = c.k AND e.t >= c.t + INTERVAL 2 MINUTE) AS t FROM chain c WHERE c.t IS NOT NULL)
+    SELECT min(event_id) AS event_id FROM b JOIN chain USING (k, t) GROUP BY k, t
+    """,
+)
+def throttle_burst(spark, sf):
+    return OE.throttle(_burst(spark, sf), "k", "t", "event_id", 120, segment_rows=500).select("event_id")
+
+
 # ------------------------------------------------------------------ streaming
 
 
@@ -150,6 +186,13 @@ def first_occurrence_stream(spark, sf):
     return out.groupBy("user_id", "event_type").agg((F.count(F.lit(1)) - 1).alias("repeats"))
 
 
+@query("once_stream", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+def once_stream(spark, sf):
+    """The first arrival of each name, remembered without a watermark."""
+    rows = _stream(spark, sf).select("user_id", "event_type", "ts", "event_id")
+    return SE.run_available(SE.once_stream(rows, ["user_id", "event_type"], "ts", "event_id")).select("user_id", "event_type", "event_id")
+
+
 @query(
     "event_counts_stream",
     """
@@ -195,6 +238,19 @@ def delivered_events_stream(spark, sf):
     return out.select("sub_id", "event_id")
 
 
+@query(
+    "delivered_events_bounded_stream",
+    f"""
+    WITH {_SUBS} SELECT sub_id, event_id FROM events e JOIN s ON e.event_type = s.event AND e.ts >= on_ts AND (off_ts IS NULL OR e.ts < off_ts)
+    """,
+)
+def delivered_events_bounded_stream(spark, sf):
+    """The same deliveries with a state from which ended subscriptions and passed events go."""
+    points = _stream(spark, sf).select("event_id", "ts", F.col("event_type").alias("event"))
+    out = SE.run_available(SE.delivered_events_bounded_stream(points, _subscriptions(_stream(spark, sf)), buckets=4))
+    return out.select("sub_id", "event_id")
+
+
 @query(
     "detect_stream",
     """

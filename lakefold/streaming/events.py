@@ -9,15 +9,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..session import ensure_checkpoint_dir
 
 WATERMARK = "10 minutes"
+_IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,10 +33,11 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_tri
     )
 
 
-def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None, idle_batches: bool = True) -> DataFrame:
     """Process everything available, write the output as files in the shared folder, read it back.
 
-    In update mode each trigger's rows land with their batch number in ``_batch``.
+    In update mode each trigger's rows land with their batch number in ``_batch``.  State with a time to live asks for
+    batches without data for ever; without ``idle_batches`` the run ends with the data.
     """
     spark = stream.sparkSession
     root = folder or f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -43,6 +46,8 @@ def run_available(stream: DataFrame, mode: str = "append", folder: str | None =
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
     if spark.sparkContext.master.startswith("local"):
         spark.conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), spark.sparkContext.defaultParallelism)))
+    idle = spark.conf.get(_IDLE)
+    spark.conf.set(_IDLE, str(idle_batches).lower())
     try:
         writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
         if mode == "append":
@@ -57,6 +62,7 @@ def run_available(stream: DataFrame, mode: str = "append", folder: str | None =
         query.awaitTermination()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set(_IDLE, idle)
     reader = spark.read.schema(schema)
     return reader.parquet(out) if mode == "append" else reader.option("recursiveFileLookup", "true").parquet(out)
 
@@ -76,6 +82,44 @@ def first_occurrence_stream(events: DataFrame, keys: list[str], ts: str, waterma
     return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
 
 
+class _Once(StatefulProcessor):
+    """Remembers that a key was delivered, for ``ttl_ms`` of processing time or for good."""
+
+    def __init__(self, ts: str, order_id: str, ttl_ms: int | None) -> None:
+        self.order, self.ttl = [ts, order_id], ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "yes BOOLEAN", self.ttl) if self.ttl else handle.getValueState("seen", "yes BOOLEAN")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        if self.seen.exists():
+            for _ in rows:  # the rows must be taken from the pipe
+                pass
+            return
+        first = None
+        for pdf in rows:
+            here = pdf.sort_values(self.order).head(1)
+            first = here if first is None else pd.concat([first, here]).sort_values(self.order).head(1)
+        if first is not None:
+            self.seen.update((True,))
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+def once_stream(events: DataFrame, keys: list[str], ts: str, order_id: str, ttl: str | None = None) -> DataFrame:
+    """``once`` without a watermark: the first arrival of a key is delivered and never again.
+
+    The memory of a key is durable state: it outlives late repeats and restarts of the query.  It ends after ``ttl`` of
+    processing time (such as ``"30 days"``), if one is given; without it the state has one entry per key for good.  A
+    query with ``ttl`` runs on a trigger interval, or until its data ends with ``run_available(idle_batches=False)``.
+    """
+    _use_rocksdb(events.sparkSession)
+    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
+    return events.groupBy(*keys).transformWithStateInPandas(_Once(ts, order_id, ttl_ms), events.schema, "Append", "ProcessingTime" if ttl else "None")
+
+
 def debounce_stream(events: DataFrame, keys: list[str], ts: str, order_id: str, wait: str, watermark: str = WATERMARK) -> DataFrame:
     """Last event of every burst; an open burst appears once the watermark has passed it."""
     rest = [c for c in events.columns if c not in keys]
@@ -101,6 +145,98 @@ def delivered_events_stream(events: DataFrame, subscriptions: DataFrame, waterma
     return e.join(s, F.expr(within + bound)).drop(F.col("s.event"))
 
 
+_OPEN = 2**62
+_DELIVERY_COLUMNS = ["event", "_bucket", "_ts", "_us", "_off", "_event", "_sub"]
+
+
+class _Deliveries(StatefulProcessor):
+    """Open subscriptions of a name and the events that a later row may still meet; timers drop both.
+
+    A subscription goes when the watermark reaches its end, an event when the watermark passes its time: rows that
+    would still meet them are late by then.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.subs = handle.getListState("subs", "on_us BIGINT, off_us BIGINT, body STRING")
+        self.events = handle.getListState("events", "us BIGINT, body STRING")
+
+    def _pairs(self, subs: list[tuple], events: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Every event inside each subscription's interval, by its sorted place."""
+        if not subs or not events:
+            return
+        events = sorted(events, key=lambda e: e[0])
+        times = np.array([e[0] for e in events])
+        on, off = (np.array(c) for c in zip(*((s[0], s[1]) for s in subs)))
+        lo, hi = np.searchsorted(times, on), np.searchsorted(times, off)
+        for s, a, b in zip(subs, lo, hi):
+            for at in range(a, b, 10_000):
+                bodies = [e[1] for e in events[at : min(b, at + 10_000)]]
+                yield pd.DataFrame({"event": bodies, "sub": s[2]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows))
+        old_subs, old_events = list(self.subs.get()), list(self.events.get())
+        pdf.columns = _DELIVERY_COLUMNS  # a union's columns arrive unnamed
+        own = pdf["_sub"].notna()
+        new_subs = [(int(u), int(o), b) for u, o, b in zip(pdf.loc[own, "_us"], pdf.loc[own, "_off"], pdf.loc[own, "_sub"])]
+        new_events = [(int(u), b) for u, b in zip(pdf.loc[~own, "_us"], pdf.loc[~own, "_event"])]
+        yield from self._pairs(new_subs, old_events + new_events)
+        yield from self._pairs(old_subs, new_events)
+        now = timers.getCurrentWatermarkInMs() * 1000
+        self._keep([s for s in old_subs + new_subs if s[1] > now], [e for e in old_events + new_events if e[0] >= now])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N803 - passed by name
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        self._keep([s for s in self.subs.get() if s[1] > now], [e for e in self.events.get() if e[0] >= now])
+        return iter(())
+
+    def _keep(self, subs: list[tuple], events: list[tuple]) -> None:
+        for state, rows in ((self.subs, subs), (self.events, events)):
+            if rows:
+                state.put(rows)
+            elif state.exists():
+                state.clear()
+        ends = [s[1] for s in subs if s[1] < _OPEN] + [e[0] + 1 for e in events]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if ends:  # one timer a name, at the next end; it sets its successor
+            self.handle.registerTimer(-(-min(ends) // 1000) + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def delivered_events_bounded_stream(events: DataFrame, subscriptions: DataFrame, watermark: str = WATERMARK, buckets: int = 1) -> DataFrame:
+    """Each event beside every subscription ``(event, on_ts, off_ts, ...)`` active at its time; closed ones leave the state.
+
+    Both inputs share one watermark; rows of either that come later than it are dropped.  ``buckets`` spreads the
+    subscriptions of one name over that many tasks, each of which sees the name's events.
+    """
+    _use_rocksdb(events.sparkSession)
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    none = F.lit(None).cast("string")
+    e = events.select(
+        "event", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket"), F.col("ts").cast("timestamp").alias("_ts"), us("ts").alias("_us"),
+        F.lit(0).cast("bigint").alias("_off"), F.to_json(F.struct(*[c for c in events.columns if c != "ts"], us("ts").alias("ts"))).alias("_event"), none.alias("_sub"))
+    extra = [c for c in subscriptions.columns if c != "event"]
+    boxed = F.to_json(F.struct(*[us(c).alias(c) if c in ("on_ts", "off_ts") else F.col(c) for c in extra]))
+    s = subscriptions.select(
+        "event", F.pmod(F.xxhash64(boxed), F.lit(buckets)).cast("int").alias("_bucket"), F.col("on_ts").cast("timestamp").alias("_ts"), us("on_ts").alias("_us"),
+        F.coalesce(us("off_ts"), F.lit(_OPEN)).alias("_off"), none.alias("_event"), boxed.alias("_sub"))
+    both = e.unionByName(s).withWatermark("_ts", watermark)
+    met = both.groupBy("event", "_bucket").transformWithStateInPandas(
+        _Deliveries(), "event STRING, sub STRING", "Append", "EventTime")
+
+    def opened(frame: DataFrame, column: str, times: tuple[str, ...], columns: list[str]) -> list[Column]:
+        types = {f.name: "BIGINT" if f.name in times else f.dataType.simpleString() for f in frame.schema if f.name in columns}
+        read = F.from_json(column, ", ".join(f"`{n}` {t}" for n, t in types.items()))
+        kinds = {f.name: f.dataType for f in frame.schema}
+        return [F.timestamp_micros(read[c]).cast(kinds[c]).alias(c) if c in times else read[c].alias(c) for c in columns]
+
+    return met.select(*opened(events, "event", ("ts",), events.columns), *opened(subscriptions, "sub", ("on_ts", "off_ts"), extra))
+
+
 class _LastValue(StatefulProcessor):
     """Keeps the last value of a key and emits (old, new) for each arrival in (ts, id) order."""
 

@@ -124,3 +124,64 @@ def test_stream_counts_and_state(streamed, log):
     updates = SE.run_available(SE.current_state_stream(streamed(), "key", "ts", "id", "value"), "update")
     got = {r.key: r.value for r in updates.groupBy("key").agg(F.max_by("value", "_batch").alias("value")).collect()}
     assert got == {k: rows[-1][3] for k, rows in by_key(log).items()}
+
+
+def _write_log(folder, name, rows):
+    cols = list(zip(*rows))
+    pq.write_table(pa.table({"key": cols[0], "ts": pa.array(cols[1], pa.timestamp("us", "UTC")), "id": cols[2], "value": cols[3]}), folder / f"{name}.parquet")
+
+
+def test_once_survives_watermark_and_restart(spark, tmp_path):
+    """A repeat hours later, in another trigger or after a restart, is not delivered again."""
+    data, state = tmp_path / "data", tmp_path / "state"
+    data.mkdir()
+    late = START + timedelta(days=30)
+    batches = [[("a", START, 1, "x"), ("a", START, 0, "x"), ("b", START, 2, "x")], [("a", late, 3, "x"), ("c", late, 4, "x")], [("b", late, 5, "x"), ("d", late, 6, "x")]]
+    for n, rows in enumerate(batches):
+        _write_log(data, f"log-{n}", rows)
+        schema = spark.read.parquet(str(data)).schema
+        out = SE.run_available(SE.once_stream(SE.read_table_stream(spark, str(data), "log", 1, schema), ["key"], "ts", "id"), folder=str(state))
+    assert sorted((r.key, r.id) for r in out.collect()) == [("a", 0), ("b", 2), ("c", 4), ("d", 6)]
+
+
+def test_once_forgets_after_its_time(spark, tmp_path):
+    data, state = tmp_path / "data", tmp_path / "state"
+    data.mkdir()
+    for n in range(2):
+        _write_log(data, f"log-{n}", [("a", START, n, "x")])
+        schema = spark.read.parquet(str(data)).schema
+        out = SE.run_available(SE.once_stream(SE.read_table_stream(spark, str(data), "log", 1, schema), ["key"], "ts", "id", ttl="1 millisecond"), folder=str(state), idle_batches=False)
+    assert sorted(r.id for r in out.collect()) == [0, 1]
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_bounded_deliveries_leave_no_state(spark, tmp_path, buckets):
+    """Events and subscriptions over several triggers equal the batch; once all is closed and passed the state is empty."""
+    rnd = random.Random(4)
+    events = sorted(((rnd.choice("pq"), START + timedelta(seconds=rnd.randrange(20000)), i) for i in range(300)), key=lambda r: r[1])
+    subs = [(i, rnd.choice("pq"), START + timedelta(seconds=a), START + timedelta(seconds=a + rnd.randrange(1, 5000))) for i, a in enumerate(sorted(rnd.randrange(20000) for _ in range(40)))]
+    end = START + timedelta(days=2)
+    rows = [("e", name, ts, i, None) for name, ts, i in events] + [("s", name, on, i, off) for i, name, on, off in subs]
+    rows = sorted(rows, key=lambda r: r[2]) + [("e", "none", end, -1, None)]
+    data = tmp_path / "data"
+    data.mkdir()
+    size = -(-len(rows) // 4)
+    for n in range(4):
+        cols = list(zip(*rows[n * size:(n + 1) * size]))
+        pq.write_table(pa.table({"kind": cols[0], "event": cols[1], "ts": pa.array(cols[2], pa.timestamp("us", "UTC")), "id": pa.array(cols[3], pa.int64()), "off_ts": pa.array(cols[4], pa.timestamp("us", "UTC"))}), data / f"log-{n}.parquet")
+    schema = spark.read.parquet(str(data)).schema
+    log = lambda: SE.read_table_stream(spark, str(data), "log", 1, schema)
+    met = SE.delivered_events_bounded_stream(log().where("kind = 'e'").select("event", "ts", "id"), log().where("kind = 's'").selectExpr("id AS sub", "event", "ts AS on_ts", "off_ts"), "10 minutes", buckets)
+    query = met.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = [(r["sub"], r.id) for r in spark.read.schema(met.schema).parquet(str(tmp_path / "out")).collect()]
+    want = {(s, i) for s, name, on, off in subs for n, ts, i in events if n == name and on <= ts < off}
+    assert len(got) == len(set(got)) and set(got) == want
+    kept = spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "subs").load()
+    assert kept.count() == 0
+
+
+def test_interval_from_long_ago_makes_no_buckets(spark, events):
+    subs = spark.createDataFrame([(1, "hot", datetime(1990, 1, 1), None), (2, "hot", datetime(1990, 1, 1), datetime(1991, 1, 1))], "sub INT, event STRING, on_ts TIMESTAMP, off_ts TIMESTAMP")
+    rows = OE.delivered_events(events.withColumnRenamed("key", "event"), subs, bucket_seconds=1)
+    assert rows.where("sub = 1").count() == 400 and rows.where("sub = 2").count() == 0
