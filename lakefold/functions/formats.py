@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import registry as R
+from .arrays import let
 from .scalars import file_ext, file_ext_loose, hex_magic
 from .text import latin1
 
@@ -63,14 +64,17 @@ def ebml_doctype(content: Column) -> Column:
     The header's length follows its mark, in one to eight bytes, the first of which tells how many by its
     leading zero bits; without a mark, or where the length is left open, the first 100 bytes are taken.
     """
-    first = F.conv(hex_magic(content, 4, 1), 16, 10).cast("int")
-    bytes_of = F.lit(9) - F.length(F.bin(F.when(first > 0, first)))
-    limit = F.pow(F.lit(2.0), 7 * bytes_of).cast("bigint")
-    size = F.conv(F.hex(F.substring(content, F.lit(5), bytes_of)), 16, 10).try_cast("bigint") - limit
-    known = (hex_magic(content, 0, 4) == "1A45DFA3") & (size < limit - 1)
-    end = F.when(known, F.least(4 + bytes_of + size, F.octet_length(content)).cast("int"))
-    head = latin1(F.substring(content, F.lit(1), F.coalesce(F.greatest(end, F.lit(100)), F.lit(100))))
-    return F.when(F.contains(head, F.lit("webm")), "webm").when(F.contains(head, F.lit("matroska")), "mkv").otherwise("unknown")
+
+    def measured(first: Column) -> Column:
+        width = F.lit(9) - F.length(F.bin(first))
+        return let(width, lambda n: let(
+            F.conv(F.hex(F.substring(content, F.lit(5), n)), 16, 10).try_cast("bigint") - F.pow(F.lit(2.0), 7 * n).cast("bigint"),
+            lambda size: F.when(size < F.pow(F.lit(2.0), 7 * n).cast("bigint") - 1, F.least(4 + n + size, F.octet_length(content)).cast("int"))))
+
+    first = F.nullif(F.conv(hex_magic(content, 4, 1), 16, 10).cast("int"), F.lit(0))
+    end = F.when(begins(content, "1A45DFA3"), let(first, lambda f: F.when(f.isNotNull(), measured(f))))
+    head = latin1(F.substring(content, F.lit(1), F.coalesce(end, F.lit(100))))
+    return let(head, lambda h: F.when(F.contains(h, F.lit("webm")), "webm").when(F.contains(h, F.lit("matroska")), "mkv").otherwise("unknown"))
 
 
 def detect_media(content: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import html as markup
+from html import entities
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from .arrays import let
 
 # What the sanitiser lets through and what it removes with its content.
 ALLOWED_TAGS = [
@@ -17,29 +17,51 @@ ALLOWED_TAGS = [
 ALLOWED_ATTRIBUTES = ["href", "title", "src", "alt", "class", "id", "style"]
 FORBIDDEN_TAGS = ["script", "style", "iframe", "object", "embed"]
 
-# Frequent character references, resolved without Python; the ampersand last.
-_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", "\u00a0"),
-    ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"),
-]
+# Control characters that a numeric reference may not name, beside the ranges below.
+_NO_CHARACTER = [*range(0x1, 0x9), 0xB, *range(0xE, 0x20), 0x7F, *range(0xFDD0, 0xFDF0)]
+
+
+def _named() -> dict[str, str]:
+    """References by name: the standard library's table of HTML, the few that need no semicolon without one as well."""
+    return {f"&{name}": char for name, char in entities.html5.items()}
 
 
-@F.pandas_udf(StringType())
-def _unescape_all(text: pd.Series) -> pd.Series:
-    return text.map(markup.unescape, na_action="ignore")
+def _windows(code: int) -> str:
+    """What a reference to 128..159 means: the character of that Windows byte, or the code itself."""
+    return bytes([code]).decode("cp1252", "ignore") or chr(code)
 
 
 def html_unescape(text: Column) -> Column:
     """Character references of HTML, named and numeric, each resolved once.
 
-    Texts with no others than the frequent ones stay in the JVM; only the rest goes to Python.
+    Names come from the table of HTML; names of the older standard also count without their semicolon and in front of
+    other letters.  Numbers that name no character give the replacement character or nothing, as HTML has it.
     """
-    names = "|".join(entity[1:-1] for entity, _ in _ENTITIES)
-    other = text.rlike(f"&(?!(?:{names});)[#a-zA-Z]")
-    plain = text
-    for entity, char in _ENTITIES:
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.when(other, _unescape_all(F.when(other, text))).otherwise(plain)
+    names = F.create_map(*[F.lit(x) for pair in _named().items() for x in pair])
+    special = F.create_map(*[F.lit(x) for code in range(0x80, 0xA0) for x in (code, _windows(code))], F.lit(0), F.lit("\ufffd"), F.lit(13), F.lit("\r"))
+    bare = "|".join(sorted((n for n in entities.html5 if not n.endswith(";")), key=len, reverse=True))
+
+    def numbered(piece: Column) -> Column:
+        hexed = F.regexp_extract(piece, "^&#[xX]0*([0-9a-fA-F]+)", 1)
+        digits = F.regexp_extract(piece, "^&#0*([0-9]+)", 1)
+        code = F.when(piece.rlike("^&#[xX]"), F.when(F.length(hexed) <= 8, F.conv(hexed, 16, 10).try_cast("bigint"))).otherwise(
+            F.when(F.length(digits) <= 10, digits.try_cast("bigint")))
+        return let(F.coalesce(code, F.lit(1 << 40)), lambda n: F.coalesce(F.try_element_at(special, n.try_cast("int")),
+            F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd").when(n.cast("int").isin(*_NO_CHARACTER) | n.bitwiseAND(F.lit(0xFFFF)).isin(0xFFFE, 0xFFFF), "")
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))))
+
+    def one(piece: Column) -> Column:
+        short = F.regexp_extract(piece, f"^(&(?:{bare}))", 1)
+        return (
+            F.when(~piece.startswith("&") | (F.length(piece) == 1), piece).when(piece.startswith("&#"), numbered(piece))
+            .otherwise(F.coalesce(F.try_element_at(names, piece), F.when(short != "", F.concat(F.try_element_at(names, short), F.substring(piece, F.length(short) + 1, F.length(piece)))), piece))
+        )
+
+    def resolve(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, F.lit("(&#[0-9]++;?|&#[xX][0-9a-fA-F]++;?|&[a-zA-Z][a-zA-Z0-9]{0,30};?|[^&]++|&)"), F.lit(1))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(t)
+
+    return let(text, resolve)
 
 
 def html_title(html: Column) -> Column:

@@ -8,9 +8,9 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StringType
+from pyspark.sql.types import IntegerType
 
-from .arrays import let, prefix_sums
+from .arrays import let, prefix_sums, tree_links
 
 # One JSON string literal; possessive, so long strings do not deepen the stack.
 STRING_LITERAL = '"(?:[^"\\\\]|\\\\.)*+"'
@@ -59,9 +59,37 @@ def _first_error(text: str) -> int | None:
             at, wanted = found.end(), "end"
 
 
-@F.pandas_udf(BooleanType())
-def _valid_beyond(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: _first_error(t) is None, na_action="ignore").astype(object)
+_STRICT = '("(?:[^"\\\\\\x00-\\x1f]|\\\\(?:["\\\\/bfnrt]|u[0-9a-fA-F]{4}))*+"|[{}\\[\\]:,]|-?(?:0|[1-9][0-9]*+)(?:\\.[0-9]++)?(?:[eE][-+]?[0-9]++)?|true|false|null)'
+
+
+def _valid_beyond(text: Column) -> Column:
+    """Whether a text of any depth and length is one JSON value, by its tokens.
+
+    Nothing but tokens and blanks may be there; a token's container is its parent in the tree of depths; and each token
+    must be one that may follow the token before it in its container.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(_STRICT), F.lit(1))
+    step = lambda t: F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+
+    def follows(toks: Column, t: Column, i: Column, parent: Column) -> Column:
+        before, earlier = F.get(toks, i - 1), F.get(toks, i - 2)
+        box = F.get(toks, parent)
+        ended = ~before.isin("{", "[", ":", ",")
+        word = ended & ~before.isin("}", "]")
+        in_list = F.when(t == "]", ended | (before == "[")).when(t == ",", ended).when(t.isin(":", "}"), False).otherwise(before.isin(",", "["))
+        told = ended & (~word | (earlier == ":"))  # a member is a key and its value
+        in_object = (
+            F.when(t == "}", told | (before == "{")).when(t == ",", told).when(t == ":", before.startswith('"') & earlier.isin("{", ",")).when(t == "]", False)
+            .when(t.startswith('"'), before.isin(":", ",", "{")).otherwise(before == ":")
+        )
+        return F.when(parent.isNull(), (i == 0) & ~t.isin("}", "]", ":", ",")).when(box == "[", in_list).otherwise(in_object)
+
+    def check(toks: Column) -> Column:
+        links = tree_links(prefix_sums(F.transform(toks, step)))
+        fits = let(links, lambda ls: F.forall(F.transform(toks, lambda t, i: F.coalesce(follows(toks, t, i, F.get(ls, i)["parent"]), F.lit(False))), lambda ok: ok))
+        return (F.size(toks) > 0) & (F.aggregate(toks, F.lit(0), lambda n, t: n + step(t)) == 0) & fits
+
+    return (F.regexp_replace(text, _STRICT + "|[ \\t\\r\\n]++", "") == "") & let(tokens, check)
 
 
 def is_valid_json(text: Column) -> Column:
@@ -70,14 +98,18 @@ def is_valid_json(text: Column) -> Column:
     The JSON readers stop after the first value and so accept trailing text.  A text that parses
     both as an object member and as an array element can only be one complete value.  They also refuse
     texts nested deeper than 1,000 levels or with strings over 20 million characters; texts that could
-    have either are checked in Python, so depth and length have no limit.
+    have either are checked token by token, so depth and length have no limit.
     """
+    beyond = text.rlike(_DEEP) | (F.length(text) >= _LONG)
+    return F.coalesce(F.when(beyond, _valid_beyond(text)).otherwise(_read(text)), F.lit(False))
+
+
+def _read(text: Column) -> Column:
+    """Whether the JSON reader takes the text as one value."""
     options = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "_bad"}
     member = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v STRING, _bad STRING", options)
     element = F.from_json(F.concat(F.lit('{"v":['), text, F.lit("]}")), "v ARRAY<STRING>, _bad STRING", options)
-    native = text.isNotNull() & member["_bad"].isNull() & element["_bad"].isNull()
-    beyond = text.rlike(_DEEP) | (F.length(text) >= _LONG)
-    return F.coalesce(F.when(beyond, _valid_beyond(F.when(beyond, text))).otherwise(native), F.lit(False))
+    return text.isNotNull() & member["_bad"].isNull() & element["_bad"].isNull()
 
 
 def json_tokens(text: Column) -> Column:
@@ -191,9 +223,9 @@ def _error_position(text: pd.Series) -> pd.Series:
 def json_error_context(text: Column, reach: int = 20) -> Column:
     """Position of the first error and the text around it, null for valid documents.
 
-    Only invalid rows carry their text into the Python worker.
+    Only rows that the JSON reader refuses carry their text into the Python worker.
     """
-    position = _error_position(F.when(~is_valid_json(text), text))
+    position = _error_position(F.when(~_read(text), text))
     start = F.greatest(position - reach, F.lit(0))
     return F.when(
         position.isNotNull(),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import at, let, prefix_sums
+from ..functions.arrays import at, let, prefix_sums, whole
 from ..functions.formats import mime_of
 from ..functions.markup import (
     RELS_SCHEMA, attribute, elements, first_element, first_part_text, has_element, leading_int, part, part_struct, part_text,
@@ -85,7 +85,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
             b["in_table"].alias("in_table"))),
         lambda p: F.size(p["runs"]) > 0,
     ).alias("pars"))
-    return read.select("path", F.posexplode("pars").alias("par_no", "p")).select(
+    return read.select("path", F.posexplode(whole("pars")).alias("par_no", "p")).select(
         "path", "par_no", F.array_join(F.transform("p.runs", lambda r: r["text"]), "").alias("text"),
         F.col("p.align").alias("align"), F.col("p.in_table").alias("in_table"), F.col("p.runs").alias("runs"),
     )
@@ -101,7 +101,7 @@ def paragraphs_errors(docs: DataFrame) -> DataFrame:
 
 def runs(docs: DataFrame) -> DataFrame:
     """``(path, par_no, run_no, text, bold, italic, underline, font_size, color, font_family)``."""
-    return paragraphs(docs).select("path", "par_no", F.posexplode("runs").alias("run_no", "r")).select("path", "par_no", "run_no", "r.*")
+    return paragraphs(docs).select("path", "par_no", F.posexplode(whole("runs")).alias("run_no", "r")).select("path", "par_no", "run_no", "r.*")
 
 
 def paragraphs_trimmed(docs: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def paragraphs_trimmed(docs: DataFrame) -> DataFrame:
     read = docs.select("path", F.transform(_blocks(main_document(F.col("parts"))), lambda b: F.transform(elements(b["par"], "r"), styled)).alias("pars"))
     rs = F.col("rs")
     return (
-        read.select("path", F.posexplode("pars").alias("par_no", "rs"))
+        read.select("path", F.posexplode(whole("pars")).alias("par_no", "rs"))
         .select(
             "path", "par_no", F.array_join(F.transform(rs, lambda r: r["text"]), "").alias("text"),
             F.exists(rs, lambda r: r["bold"]).alias("bold"), F.exists(rs, lambda r: r["italic"]).alias("italic"),
@@ -312,7 +312,7 @@ def wps_content(docs: DataFrame) -> DataFrame:
     opened = docs.select("path", _wps_main(F.col("parts")).alias("xml"))
     pars = F.filter(F.transform(elements(F.col("xml"), "p"), _wps_paragraph), lambda p: p["text"] != "")
     split = opened.select("path", "xml", pars.alias("pars"))
-    as_rows = split.select("path", F.posexplode("pars").alias("block_no", "p")).select(
+    as_rows = split.select("path", F.posexplode(whole("pars")).alias("block_no", "p")).select(
         "path", F.lit("paragraph").alias("kind"), "block_no", F.lit(None).cast("int").alias("row_no"), F.lit(None).cast("int").alias("col_no"), "p.text", "p.align"
     )
     tables = split.filter(F.size("pars") == 0).select("path", F.posexplode(_tables(F.col("xml"), "table")).alias("block_no", "t"))

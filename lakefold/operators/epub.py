@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, prefix_sums
+from ..functions.arrays import let, prefix_sums, tree_links, whole
 from ..functions.html import html_text, html_title
 from ..functions.markup import attribute, elements, first_element, part, part_text, text_content
 from ..functions.scalars import basename, dirname
@@ -13,7 +13,6 @@ from ..functions.text import trim_space
 from ..functions.xmltext import is_valid_xml, xml_fault
 from ..sources.archive import open_packages
 from .faults import fault, package_errors
-from .trees import with_parents
 
 CONTAINER = "META-INF/container.xml"
 
@@ -116,15 +115,20 @@ def epub_toc(books: DataFrame, flat: bool = False) -> DataFrame:
     pieces = F.split("ncx", "(?=<(?:\\w{1,20}:)?navPoint[\\s>])", -1)
     points = F.filter(pieces, lambda p: p.rlike("^<(?:\\w+:)?navPoint[\\s>]"))
     steps = F.transform("points", lambda p: F.lit(1) - F.regexp_count(p, F.lit("</(?:\\w+:)?navPoint\\s*>")))
-    rows = ncx.select("path", points.alias("points")).select(
-        "path", F.posexplode(F.arrays_zip(F.col("points").alias("p"), prefix_sums(steps).alias("d"))).alias("toc_no", "z")
-    ).select(
-        "path", "toc_no", (F.col("z.d") + 1).alias("depth"),
-        trim_space(text_content(first_element(first_element(F.col("z.p"), "navLabel"), "text"))).alias("title"),
-        attribute(first_element(F.col("z.p"), "content"), "src").alias("src"),
-        first_element(F.col("z.p"), "content").isNotNull().alias("has_content"),
-    ).filter(F.col("title").isNotNull() & F.col("has_content")).drop("has_content")
-    return rows.drop("depth") if flat else with_parents(rows, ["path"], "toc_no", "depth")
+
+    def point(z: Column, i: Column) -> Column:
+        content = first_element(z["p"], "content")
+        return F.struct(
+            i.alias("toc_no"), (z["d"] + 1).alias("depth"), trim_space(text_content(first_element(first_element(z["p"], "navLabel"), "text"))).alias("title"),
+            attribute(content, "src").alias("src"), content.isNotNull().alias("has_content"))
+
+    listed = ncx.select("path", points.alias("points")).select("path", F.arrays_zip(F.col("points").alias("p"), prefix_sums(steps).alias("d")).alias("z"))
+    kept = listed.select("path", F.filter(F.transform("z", point), lambda t: t["title"].isNotNull() & t["has_content"]).alias("kept"))
+    if flat:
+        return kept.select("path", F.inline(whole("kept"))).select("path", "toc_no", "title", "src")
+    linked = F.zip_with("kept", tree_links(F.col("kept.depth")), lambda t, n: F.struct(
+        t["toc_no"].alias("toc_no"), t["depth"].alias("depth"), t["title"].alias("title"), t["src"].alias("src"), F.get(F.col("kept"), n["parent"])["toc_no"].alias("parent")))
+    return kept.select("path", F.inline(linked))
 
 
 def epub_images(books: DataFrame) -> DataFrame:

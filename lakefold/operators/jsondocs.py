@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import prefix_sums
+from ..functions.arrays import prefix_sums, tree_links, whole
 from ..functions.jsontext import is_valid_json, json_tokens
-from .trees import count_children, with_parents
 
 
 def _string(token: Column) -> Column:
@@ -19,37 +18,26 @@ def _string(token: Column) -> Column:
 def json_nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Pre-order nodes of valid documents: node id, parent id, depth, key, kind, scalar text, children.
 
-    Tokens, depths and node numbers are computed inside the row, so depth is not limited and only
-    node rows are exploded; parents come from one window over (document, level).
+    Tokens, depths, parents and child counts are computed inside the row, so depth is not limited, nothing is
+    shuffled, and only finished node rows are exploded.
     """
-    valid = docs.filter(is_valid_json(F.col(text))).select(key, json_tokens(F.col(text)).alias("tokens"))
-    steps = F.transform("tokens", lambda t: F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0))
     toks = F.col("tokens")
-    is_node = F.transform(
-        toks,
-        lambda t, i: F.when(
-            ~t.isin("}", "]", ",", ":") & F.coalesce(F.get(toks, i + 1) != ":", F.lit(True)), 1
-        ).otherwise(0),
-    )
-    prepared = valid.select(key, "tokens", prefix_sums(steps).alias("depths"), is_node.alias("flags")).withColumn(
-        "ids", prefix_sums(F.col("flags"))
-    )
-    described = F.transform(
-        toks,
-        lambda t, i: F.struct(
-            F.get("flags", i).alias("flag"),
-            (F.get("ids", i) + 1).alias("node_id"),
-            (F.get("depths", i) + 1).alias("depth"),
-            F.when((i >= 2) & (F.get(toks, i - 1) == ":"), F.get(toks, i - 2)).alias("key"),
-            t.alias("token"),
-        ),
-    )
-    nodes = prepared.select(key, F.inline(F.filter(described, lambda d: d["flag"] == 1))).drop("flag")
-    tree = count_children(with_parents(nodes, [key], "node_id", "depth"), [key], "node_id")
+    valid = docs.filter(is_valid_json(F.col(text))).select(key, json_tokens(F.col(text)).alias("tokens"))
+    steps = F.transform(toks, lambda t: F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0))
+    described = F.zip_with(
+        F.transform(toks, lambda t, i: F.struct(
+            (~t.isin("}", "]", ",", ":") & F.coalesce(F.get(toks, i + 1) != ":", F.lit(True))).alias("node"),
+            F.when((i >= 2) & (F.get(toks, i - 1) == ":"), F.get(toks, i - 2)).alias("key"), t.alias("token"))),
+        prefix_sums(steps), lambda t, d: F.struct(t["node"].alias("node"), (d + 1).alias("depth"), t["key"].alias("key"), t["token"].alias("token")))
+    nodes = valid.select(key, F.filter(described, lambda d: d["node"]).alias("nodes"))
+    linked = nodes.select(key, F.arrays_zip("nodes", tree_links(F.col("nodes.depth")).alias("links")).alias("rows"))
+    rows = linked.select(key, F.posexplode(whole("rows")).alias("at", "n")).select(
+        key, (F.col("at") + 1).alias("node_id"), (F.col("n.links.parent") + 1).cast("bigint").alias("parent"), F.col("n.nodes.depth").alias("depth"),
+        F.col("n.nodes.key").alias("name"), F.col("n.nodes.token").alias("token"), F.col("n.links.children").cast("bigint").alias("children"))
     first = F.substring("token", 1, 1)
-    return tree.select(
+    return rows.select(
         key, "node_id", "parent", "depth",
-        _string(F.col("key")).alias("key"),
+        _string(F.col("name")).alias("key"),
         F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string")
         .when(first.isin("t", "f"), "boolean").when(first == "n", "null").otherwise("number").alias("kind"),
         F.when(first == '"', _string(F.col("token")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import at, let
+from ..functions.arrays import at, let, whole
 from ..functions.markup import attribute, elements, first_element, leading_float, part_text, text_content
 from ..functions.xmltext import is_valid_xml
 from ..sources.archive import archive_parts, open_packages
@@ -102,7 +102,7 @@ def ofd_elements(docs: DataFrame) -> DataFrame:
                         F.transform(elements(markup, "PathObject"), path))
 
     rows = _page_rows(docs).select("path", "page_no", F.flatten(F.transform(elements(F.col("xml"), "Layer"), layer)).alias("found"))
-    return rows.select("path", "page_no", F.posexplode("found").alias("element_no", "e")).select("path", "page_no", "element_no", "e.*")
+    return rows.select("path", "page_no", F.posexplode(whole("found")).alias("element_no", "e")).select("path", "page_no", "element_no", "e.*")
 
 
 def ofd_resources(files: DataFrame, docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import at, let
+from ..functions.arrays import at, let, whole
 from ..functions.markup import RELS_SCHEMA, leading_float, leading_int, part_struct, part_text, resolve_target
 from ..functions.xmltext import xml_fault, xml_struct
 from ..sources.archive import open_packages
@@ -143,7 +143,7 @@ def _sheet_rows(books: DataFrame, schema: str, et: bool = False, extra: dict[str
     )
     extra = extra or {}
     per_book = books.select("path", *[c.alias(n) for n, c in extra.items()], with_text.alias("found"))
-    per_sheet = per_book.select("path", *extra, F.inline("found"))
+    per_sheet = per_book.select("path", *extra, F.inline(whole("found")))
     return per_sheet.select(
         "path", "sheet_no", "sheet_name", "sheet_id", *extra, xml_struct(F.col("xml"), schema + ", _corrupt_record STRING").alias("ws")
     ).filter("ws._corrupt_record IS NULL")
