@@ -311,7 +311,10 @@ def sheet_pages(all_cells: DataFrame, page: int) -> DataFrame:
 
 
 def sheet_to_table(all_cells: DataFrame, columns: list[int]) -> DataFrame:
-    """Wide rows with one text column per listed sheet column (``c0``, ``c1``, ...)."""
-    values = all_cells.select("path", "sheet_no", "row", "col", shown_value().alias("value"))
-    wide = values.groupBy("path", "sheet_no", "row").pivot("col", columns).agg(F.first("value"))
+    """Wide rows with one text column per listed sheet column (``c0``, ``c1``, ...).
+
+    Of several cells at one place that with the greatest reference counts, so a stated one comes before one without a place.
+    """
+    values = all_cells.select("path", "sheet_no", "row", "col", "ref", shown_value().alias("value"))
+    wide = values.groupBy("path", "sheet_no", "row").pivot("col", columns).agg(F.max_by("value", "ref"))
     return wide.select("path", "sheet_no", "row", *[F.col(str(c)).alias(f"c{c}") for c in columns])

@@ -94,10 +94,10 @@ def entry_lookup(spark, sf):
     return OA.entry_lookup(archive_entries(_zips(spark, sf)), requests)
 
 
-@query("entry_name_decode", f"WITH {_ENTRIES} SELECT path, entry_no, name FROM e WHERE entry_no IN (5, 6)")
+@query("entry_name_decode", f"WITH {_ENTRIES} SELECT path, entry_no, name FROM e WHERE entry_no IS NOT NULL")
 def entry_name_decode(spark, sf):
     """Declared UTF-8 and undeclared GBK entry names."""
-    return archive_entries(_zips(spark, sf)).filter("entry_no IN (5, 6)").select("path", "entry_no", "name")
+    return archive_entries(_zips(spark, sf)).filter("entry_no IS NOT NULL").select("path", "entry_no", "name")
 
 
 @query("archive_profile", f"WITH {_GOOD} SELECT path, 8 AS file_count, 'ZIP' AS format, 'deflate,store' AS methods FROM good")
@@ -246,16 +246,16 @@ def merge_membership(spark, sf):
 @query(
     "dense_grid",
     f"""
-    WITH {_CELLS}, {_BOOKS}, g AS (SELECT path, row, unnest(generate_series(0, 26)) AS col FROM (SELECT path, unnest(generate_series(0, n - 1)) AS row FROM b)),
+    WITH {_CELLS}, {_BOOKS}, g AS (SELECT path, 0 AS sheet_no, row, unnest(generate_series(0, 26)) AS col FROM (SELECT path, unnest(generate_series(0, n - 1)) AS row FROM b)
+      UNION ALL SELECT path, 1, 0, 0 FROM b),
     v AS (SELECT path, sheet_no, row, col, coalesce(cell_type, 'n') AS type, coalesce(v_string, CAST(v_double AS VARCHAR), CAST(v_bool AS VARCHAR)) AS value FROM c)
-    SELECT g.path, 0 AS sheet_no, g.row, g.col, coalesce(value, '') AS value, coalesce(type, 's') AS type
-    FROM g LEFT JOIN v ON v.path = g.path AND v.sheet_no = 0 AND v.row = g.row AND v.col = g.col
+    SELECT g.path, g.sheet_no, g.row, g.col, coalesce(value, '') AS value, coalesce(type, 's') AS type
+    FROM g LEFT JOIN v ON v.path = g.path AND v.sheet_no = g.sheet_no AND v.row = g.row AND v.col = g.col
     """,
 )
 def dense_grid(spark, sf):
     books = _books(spark, sf)
-    all_cells, ranges = OW.cells(books), OW.sheet_ranges(books)
-    return OW.dense_grid(all_cells.filter("sheet_no = 0"), ranges.filter("sheet_no = 0"))
+    return OW.dense_grid(OW.cells(books), OW.sheet_ranges(books))
 
 
 @query("sheet_ranges", f"WITH {_BOOKS} SELECT path, 0 AS sheet_no, n AS row_count, 27 AS col_count FROM b UNION ALL SELECT path, 1, 1, 1 FROM b")
@@ -283,10 +283,11 @@ def sheet_pages(spark, sf):
     f"""
     WITH {_BOOK_LINES} SELECT path, 0 AS sheet_no, i AS row, CASE WHEN i % 5 = 4 THEN '' ELSE line END AS c0, CAST(length(line) + 0.5 AS VARCHAR) AS c1, CAST(length(line) > 100 AS VARCHAR) AS c2,
       CASE WHEN i % 3 = 0 THEN '#N/A' END AS c26 FROM l
+    UNION ALL SELECT 'd' || doc_id || '.xlsx', 1, 0, lang, source, NULL, NULL FROM documents WHERE doc_id % 10 <> 7
     """,
 )
 def sheet_to_table(spark, sf):
-    return OW.sheet_to_table(OW.cells(_books(spark, sf)).filter("sheet_no = 0"), [0, 1, 2, 26])
+    return OW.sheet_to_table(OW.cells(_books(spark, sf)), [0, 1, 2, 26])
 
 
 @query(

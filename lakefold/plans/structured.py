@@ -506,8 +506,15 @@ def md_to_html(spark, sf):
 # ------------------------------------------------------------------ HTML
 
 
+# references that the pages may hold, with the ampersand last
+_REFERENCES = [
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", "\u00a0"),
+    ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"),
+]
+
+
 def _sql_unescape(start):
-    for entity, char in H._ENTITIES:
+    for entity, char in _REFERENCES:
         start = "replace({}, '{}', '{}')".format(start, entity, char.replace("'", "''"))
     return start
 
