@@ -399,8 +399,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return row.join(least, "class").select(key, "class_id")
 
 
-def keep_one(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The row with the least key of each class, and of repeated rows of that key one."""
-    kept = near_duplicates(docs, key=key, **options).where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("__kept")).distinct()
-    once = docs.join(kept, docs[key] == kept["__kept"], "left_semi").dropDuplicates([key])
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The row with the least key of each class, and of repeated rows one.
+
+    Rows are told apart by key and text: different texts that share a key are judged one by one, and of two in one class
+    that with the lesser hash stays.
+    """
+    own = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("print")))
+    told = docs.withColumn("__row", own)
+    classes = near_duplicates(told.select("__row", text), key="__row", text=text, **options)
+    kept = classes.where(F.col("__row") == F.col("class_id")).select(F.col("__row").alias("__kept")).distinct()
+    once = told.join(kept, F.col("__row") == F.col("__kept"), "left_semi").dropDuplicates(["__row"]).drop("__row")
     return once.unionByName(docs.where(F.col(key).isNull()))

@@ -546,3 +546,11 @@ def test_stages_take_odd_documents(spark, rows):
         assert stage(spark, frame.limit(0), SF).count() == 0
         assert stage(spark, frame, SF).count() > 0
     assert os.path.isdir(SF)
+
+
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    """Two texts share an id, one is a copy of another document: the copy goes, the other text stays."""
+    words = lambda tag: " ".join(f"{tag}{i}" for i in range(40))
+    rows = [(3, words("a"), "x"), (7, words("a"), "y"), (7, words("b"), "z"), (7, words("b"), "z"), (9, words("c"), "x"), (None, words("a"), "n")]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((str(r.doc_id), r.text[0], r.source) for r in kept) == [("3", "a", "x"), ("7", "b", "z"), ("9", "c", "x"), ("None", "a", "n")]
