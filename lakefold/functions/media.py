@@ -15,7 +15,9 @@ from .scalars import byte_slice, read_int, read_uint
 from .text import latin1
 
 # MPEG audio sample rates and bit rates (kbit/s) by header index.
-SAMPLE_RATES = [44100, 48000, 32000]
+SAMPLE_RATES_V1 = [44100, 48000, 32000]
+SAMPLE_RATES_V2 = [22050, 24000, 16000]
+SAMPLE_RATES_V25 = [11025, 12000, 8000]
 BIT_RATES_V1 = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 0]
 BIT_RATES_V2 = [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160, 0]
 
@@ -46,13 +48,14 @@ def mp3_frame(content: Column) -> Column:
         word = f["word"]
         bits = lambda shift, mask: F.shiftrightunsigned(word, shift).bitwiseAND(F.lit(mask).cast("bigint")).cast("int")
         version, layer = bits(19, 3), bits(17, 3)
-        sample = F.when(version == 3, bits(10, 3)).otherwise(bits(10, 3) % 3)
+        of = lambda rates: F.get(_array(rates), bits(10, 3))
+        sample = F.when(version == 3, of(SAMPLE_RATES_V1)).when(version == 2, of(SAMPLE_RATES_V2)).when(version == 0, of(SAMPLE_RATES_V25))
         nonzero = lambda c, default: F.coalesce(F.nullif(c, F.lit(0)), F.lit(default))
         rate = nonzero(F.when(version == 3, F.get(_array(BIT_RATES_V1), bits(12, 15))).otherwise(F.get(_array(BIT_RATES_V2), bits(12, 15))), 128)
         return F.struct(
             F.when(version == 3, "Version 1").when(version == 2, "Version 2").otherwise("Reserved").alias("version"),
             F.when(layer == 1, "III").when(layer == 2, "II").when(layer == 3, "I").otherwise("Reserved").alias("layer"),
-            F.coalesce(F.get(_array(SAMPLE_RATES), sample), F.lit(44100)).alias("sample_rate"), rate.alias("bitrate"),
+            F.coalesce(sample, F.lit(44100)).alias("sample_rate"), rate.alias("bitrate"),
             ((size - f["start"]) * 8 / (rate * 1000)).alias("duration"),
         )
 

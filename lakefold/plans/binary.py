@@ -55,7 +55,7 @@ _RATE = """coalesce(nullif(CASE WHEN o_orderkey % 2 = 0 THEN [0, 32, 40, 48, 56,
     "mp3_frame",
     f"""
     SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Version 1' ELSE 'Version 2' END AS version, ['III', 'II', 'I'][o_orderkey % 3 + 1] AS layer,
-      [44100, 48000, 32000][o_orderkey % 3 + 1] AS sample_rate, {_RATE} AS bitrate, round(413 * 8 / ({_RATE} * 1000), 9) AS duration FROM orders
+      CASE WHEN o_orderkey % 2 = 0 THEN [44100, 48000, 32000] ELSE [22050, 24000, 16000] END[o_orderkey % 3 + 1] AS sample_rate, {_RATE} AS bitrate, round(413 * 8 / ({_RATE} * 1000), 9) AS duration FROM orders
     """,
 )
 def mp3_frame(spark, sf):
