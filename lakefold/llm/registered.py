@@ -157,6 +157,13 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# CRC-32 of short ASCII strings: the byte table from its polynomial, then a fold over the bytes.
+_CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) tab FROM (SELECT i, list_reduce(list_concat([i], range(8)),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) v FROM range(256) t(i)))"""
+_CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({0}, ''), lambda s: CAST(unicode(s) AS BIGINT))),
+                lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+
 def _id_checksum(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string").cast("binary"))
 
@@ -181,7 +188,31 @@ def planted_periods(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.when(h % 10 == 0, let(words, round_and_round)).otherwise(F.col("text")).alias("text"))
 
 
-@query("op12_periodic_runs")
+@query(
+    "op12_periodic_runs",
+    "WITH "
+    + _CRC_TABLE
+    + r""",
+    d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w0, """
+    + _CRC.format("CAST(doc_id AS VARCHAR)")
+    + r""" h FROM documents, crc),
+    a AS (SELECT doc_id, w0, h, len(w0) n, h // 10 g FROM d),
+    b AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < g % n THEN w0[i + 1]
+                 ELSE w0[1 + g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8))] END) ELSE w0 END w FROM a),
+    k AS (SELECT doc_id, n, i, hash(array_to_string(w[i + 1 : i + 16], ' ')) g FROM (SELECT doc_id, n, w, unnest(range(n - 15)) i FROM b WHERE n >= 24)),
+    p AS (SELECT x.doc_id, x.i, y.i - x.i q FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+    s AS (SELECT doc_id, q, min(i) start, max(i) - min(i) + 16 + q length
+          FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) island FROM p) GROUP BY doc_id, q, island),
+    r AS (SELECT doc_id, start, length, min(q) period FROM s WHERE length >= greatest(24, 3 * q) GROUP BY 1, 2, 3),
+    t AS (SELECT doc_id, count(*) n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) runs_sha256 FROM r GROUP BY 1),
+    m AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+    x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) i FROM r),
+    c AS (SELECT u.doc_id, string_agg(u.v, ' ' ORDER BY u.i) kept FROM (SELECT doc_id, unnest(w) v, unnest(range(n)) i FROM b JOIN m USING (doc_id)) u ANTI JOIN x USING (doc_id, i) GROUP BY 1)
+    SELECT b.doc_id, coalesce(n_runs, 0) n_runs, m.start, m.length, m.period, 1000 * m.length // m.period exponent_milli,
+           coalesce(runs_sha256, sha256('')) runs_sha256, sha256(CASE WHEN m.doc_id IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) collapsed_sha256
+    FROM b LEFT JOIN t USING (doc_id) LEFT JOIN m ON m.doc_id = b.doc_id LEFT JOIN c ON c.doc_id = b.doc_id
+    """,
+)
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, a tenth of which get a periodic end first."""
     found = runs.find_runs(planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -218,13 +249,6 @@ def op13_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept_text", 256).alias("kept_sha256"))
 
 
-# CRC-32 of short ASCII strings: the byte table from its polynomial, then a fold over the bytes.
-_CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) tab FROM (SELECT i, list_reduce(list_concat([i], range(8)),
-                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) v FROM range(256) t(i)))"""
-_CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({0}, ''), lambda s: CAST(unicode(s) AS BIGINT))),
-                lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295)"""
-
-
 @query(
     "op11_repair_conversations",
     r"""
