@@ -6,6 +6,8 @@ inside the row before the cells are exploded: no shuffle of cells, whatever thei
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ ET_PARTS = r"^[^/]+\.xml$"
 
 _CELL = "STRUCT<_r: STRING, _t: STRING, _s: STRING, v: STRING, f: STRING>"
 _SHEET = f"sheetData STRUCT<row: ARRAY<STRUCT<_r: STRING, c: ARRAY<{_CELL}>>>>"
+_BLOCK = 64
+_ENTRY = "array<struct<b:int,range_no:int,d:struct<start_row:int,start_col:int,end_row:int,end_col:int>>>"
 _DIMENSION = "dimension STRUCT<_ref: STRING>"
 _MERGES = "mergeCells STRUCT<mergeCell: ARRAY<STRUCT<_ref: STRING>>>"
 _XF = ("STRUCT<_fontId: STRING, _fillId: STRING, _borderId: STRING, _numFmtId: STRING, _applyFont: STRING, _applyFill: STRING, "
@@ -149,29 +153,69 @@ def _sheet_rows(books: DataFrame, schema: str, et: bool = False, extra: dict[str
     ).filter("ws._corrupt_record IS NULL")
 
 
-def cells(books: DataFrame, et: bool = False) -> DataFrame:
-    """Typed cells of every sheet: position, type tag, raw and typed value, formula, style index."""
-    strings = _strings(F.col("parts"), "SharedStrings.xml" if et else "xl/sharedStrings.xml")
-    rows = _sheet_rows(books, _SHEET, et, {"strings": strings})
+def _spread(rows: DataFrame, more: Callable[[Column], list[Column]] = lambda place: []) -> DataFrame:
+    """The cells of parsed sheets as rows; ``more`` adds columns that follow from a cell's place."""
 
     def one(row: Column, i: Column) -> Column:
         number = F.coalesce(leading_int(row["_r"]).cast("int"), i + 1)
 
-        def cell(c: Column) -> Column:
-            place = cell_ref(c["_r"])
+        def described(c: Column, place: Column) -> Column:
             return F.struct(
                 number.alias("row_num"), c["_r"].alias("ref"), place["col"].alias("col"), place["row"].alias("row"), c["_t"].alias("cell_type"),
                 c["v"].alias("raw_value"), *typed_value(c["_t"], c["v"], F.col("strings")), c["f"].alias("formula"),
-                F.coalesce(leading_int(c["_s"]), F.lit(0)).cast("int").alias("style_idx"),
+                F.coalesce(leading_int(c["_s"]), F.lit(0)).cast("int").alias("style_idx"), *more(place),
             )
 
-        return F.transform(row["c"], cell)
+        return F.transform(row["c"], lambda c: let(cell_ref(c["_r"]), lambda place: described(c, place)))
 
-    out = rows.select("path", "sheet_no", "sheet_name", F.inline(F.flatten(F.filter(
+    return rows.select("path", "sheet_no", "sheet_name", F.inline(F.flatten(F.filter(
         F.transform("ws.sheetData.row", one), lambda r: r.isNotNull()))))
+
+
+def cells(books: DataFrame, et: bool = False) -> DataFrame:
+    """Typed cells of every sheet: position, type tag, raw and typed value, formula, style index."""
+    strings = _strings(F.col("parts"), "SharedStrings.xml" if et else "xl/sharedStrings.xml")
+    out = _spread(_sheet_rows(books, _SHEET, et, {"strings": strings}))
     return out.drop("style_idx") if et else out
 
 
+def cells_with_merges(books: DataFrame) -> DataFrame:
+    """Cells with ``merged``, ``hidden``, ``row_span`` and ``col_span``; the first range wins.
+
+    One pass over the sheets: a sheet's ranges are filed by blocks of rows in a map beside its cells, and each cell looks
+    at the ranges of its own block only, so nothing is shuffled or joined.
+    """
+    strings = _strings(F.col("parts"), "xl/sharedStrings.xml")
+    rows = _sheet_rows(books, f"{_SHEET}, {_MERGES}", extra={"strings": strings})
+    block = lambda r: F.floor(r / _BLOCK).cast("int")
+    ranges = F.transform("ws.mergeCells.mergeCell", lambda m, i: let(decode_range(m["_ref"]), lambda d: F.struct(i.alias("range_no"), d.alias("d"))))
+    entries = F.flatten(F.transform(ranges, lambda r: F.transform(
+        F.sequence(block(r["d"]["start_row"]), block(F.greatest(r["d"]["start_row"], r["d"]["end_row"]))),
+        lambda b: F.struct(b.alias("b"), r["range_no"].alias("range_no"), r["d"].alias("d")))))
+
+    def by_block(filed: Column) -> Column:
+        """Sorted entries as a map of their runs."""
+        first = F.filter(F.transform(filed, lambda e, i: F.struct(e["b"].alias("b"), i.alias("i"), ((i == 0) | (F.get(filed, i - 1)["b"] != e["b"])).alias("new"))), lambda e: e["new"])
+        return let(first, lambda f: F.map_from_arrays(
+            F.transform(f, lambda e: e["b"]), F.transform(f, lambda e, k: F.slice(filed, e["i"] + 1, F.coalesce(F.get(f, k + 1)["i"], F.size(filed)) - e["i"]))))
+
+    filed = rows.withColumn("_filed", let(F.array_sort(F.coalesce(entries, F.array().cast(_ENTRY))), by_block))
+
+    def spans(place: Column) -> list[Column]:
+        inside = lambda e: place["row"].between(e["d"]["start_row"], e["d"]["end_row"]) & place["col"].between(e["d"]["start_col"], e["d"]["end_col"])
+        hit = at(F.filter(F.try_element_at(F.col("_filed"), block(place["row"])), inside), 0)["d"]
+
+        def told(d: Column) -> Column:
+            anchor = (place["row"] == d["start_row"]) & (place["col"] == d["start_col"])
+            return F.struct(
+                d.isNotNull().alias("merged"), F.coalesce(~anchor, F.lit(False)).alias("hidden"), F.when(anchor, d["end_row"] - d["start_row"] + 1).alias("row_span"),
+                F.when(anchor, d["end_col"] - d["start_col"] + 1).alias("col_span"))
+
+        return [let(hit, told).alias("_merge")]
+
+    return _spread(filed, spans).select("*", "_merge.*").drop("_merge")
+
+
 def cells_errors(books: DataFrame, et: bool = False) -> DataFrame:
     """``(path, part, error)``: packages that do not open, and listed sheets that :func:`cells` passes over."""
     parts = F.col("parts")
@@ -246,9 +290,6 @@ def merged_ranges(books: DataFrame) -> DataFrame:
     ).select("path", "sheet_no", "range_no", "ref", "d.*")
 
 
-_BLOCK = 64
-
-
 def merge_membership(all_cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """Add ``merged``, ``hidden``, ``row_span`` and ``col_span`` to cells; the first range wins.
 

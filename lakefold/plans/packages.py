@@ -12,7 +12,7 @@ from ..operators import archive as OA
 from ..operators import sheets as OW
 from ..sources.archive import archive_entries, archive_parts
 from . import fixtures as X
-from .tables import query, table
+from .tables import ORACLES, query, table
 
 
 def _docs(spark, sf):
@@ -239,6 +239,12 @@ def merged_ranges(spark, sf):
     """,
 )
 def merge_membership(spark, sf):
+    return OW.cells_with_merges(_books(spark, sf)).select("path", "sheet_no", "ref", "merged", "hidden", "row_span", "col_span")
+
+
+@query("merge_membership_join", ORACLES["merge_membership"])
+def merge_membership_join(spark, sf):
+    """The same by a range join, for cells and ranges that are tables of their own."""
     books = _books(spark, sf)
     return OW.merge_membership(OW.cells(books), OW.merged_ranges(books)).select("path", "sheet_no", "ref", "merged", "hidden", "row_span", "col_span")
 
