@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import utf8_text
 from .arrays import let
-from .xmltext import xml_struct
+from .xmltext import xml_struct, xml_tokens
 
 
 
@@ -35,6 +35,28 @@ def part_struct(parts: Column, name: Column | str, schema: str) -> Column:
     return let(parsed, lambda p: F.when(p["_corrupt_record"].isNull(), p))
 
 
+def plain_markup(text: Column) -> Column:
+    """Well-formed markup without what misleads patterns: comments go, character data and signs in attributes are escaped.
+
+    Markup that has none of these, which is nearly all, is only looked through.
+    """
+
+    def escaped(t: Column) -> Column:
+        return F.replace(F.replace(t, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def one(token: Column) -> Column:
+        data = F.substring(token, F.lit(10), F.length(token) - 12)
+        inside = F.substring(token, F.lit(2), F.length(token) - 2)
+        return (
+            F.when(token.startswith("<!--"), "").when(token.startswith("<![CDATA["), escaped(F.replace(data, F.lit("&"), F.lit("&amp;"))))
+            .when(token.rlike("^<[^!?]") & F.contains(inside, F.lit(">")), F.concat(F.lit("<"), F.replace(inside, F.lit(">"), F.lit("&gt;")), F.lit(">")))
+            .otherwise(token)
+        )
+
+    misleading = F.contains(text, F.lit("<!--")) | F.contains(text, F.lit("<![CDATA[")) | text.rlike("=\\s*+(?:\"[^\"<>]*+>|'[^'<>]*+>)")
+    return F.when(misleading, F.array_join(F.transform(xml_tokens(text), one), "")).otherwise(text)
+
+
 def elements(markup: Column, tag: str) -> Column:
     """Source text of the elements of a local name, at any depth, in document order.
 

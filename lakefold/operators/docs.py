@@ -9,7 +9,7 @@ from ..functions.arrays import at, let, prefix_sums, whole
 from ..functions.formats import mime_of
 from ..functions.markup import (
     RELS_SCHEMA, attribute, elements, first_element, first_part_text, has_element, leading_int, part, part_struct, part_text,
-    resolve_target, text_content, texts_of,
+    plain_markup, resolve_target, text_content, texts_of,
 )
 from ..functions.scalars import parse_hex_color
 from ..functions.text import is_blank, word_count
@@ -37,7 +37,7 @@ def open_wps(files: DataFrame) -> DataFrame:
 def main_document(parts: Column) -> Column:
     """Markup of ``word/document.xml``, else of the first part whose name ends that way; null if malformed."""
     other = at(F.filter(F.map_keys(parts), lambda k: k.endswith("document.xml")), 0)
-    return let(F.coalesce(part_text(parts, "word/document.xml"), part_text(parts, other)), lambda t: F.when(is_valid_xml(t), t))
+    return let(F.coalesce(part_text(parts, "word/document.xml"), part_text(parts, other)), lambda t: F.when(is_valid_xml(t), plain_markup(t)))
 
 
 def _blocks(markup: Column) -> Column:
@@ -304,7 +304,7 @@ def _wps_paragraph(p: Column) -> Column:
 
 
 def _wps_main(parts: Column) -> Column:
-    return let(first_part_text(parts, ["document.xml", "doc.xml", "content.xml"]), lambda t: F.when(is_valid_xml(t), t))
+    return let(first_part_text(parts, ["document.xml", "doc.xml", "content.xml"]), lambda t: F.when(is_valid_xml(t), plain_markup(t)))
 
 
 def wps_content(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let, prefix_sums, tree_links, whole
 from ..functions.html import html_text, html_title
-from ..functions.markup import attribute, elements, first_element, part, part_text, text_content
+from ..functions.markup import attribute, elements, first_element, part, part_text, plain_markup, text_content
 from ..functions.scalars import basename, dirname
 from ..functions.text import trim_space
 from ..functions.xmltext import is_valid_xml, xml_fault
@@ -42,7 +42,7 @@ def _opened(books: DataFrame) -> DataFrame:
     """``(path, parts, dir, opf)`` of books whose package document is well-formed."""
     located = books.select("path", "parts", _opf_path(F.col("parts")).alias("opf_path"))
     read = located.select("path", "parts", dirname(F.col("opf_path")).alias("dir"), part_text(F.col("parts"), F.col("opf_path")).alias("opf"))
-    return read.filter(is_valid_xml(F.col("opf")))
+    return read.filter(is_valid_xml(F.col("opf"))).withColumn("opf", plain_markup(F.col("opf")))
 
 
 def _items(opf: Column, directory: Column) -> Column:
@@ -110,7 +110,7 @@ def epub_toc(books: DataFrame, flat: bool = False) -> DataFrame:
     ncx_id = attribute(first_element(opf, "spine"), "toc")
     ncx_path = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(
         F.filter(items, lambda i: i["id"] == ncx_id), lambda i: i["item_path"])), -1)
-    ncx = prepared.select("path", part_text(parts, ncx_path).alias("ncx")).filter(is_valid_xml(F.col("ncx")))
+    ncx = prepared.select("path", part_text(parts, ncx_path).alias("ncx")).filter(is_valid_xml(F.col("ncx"))).withColumn("ncx", plain_markup(F.col("ncx")))
     # every piece after the first starts a point; the closing tags in it say how far the level falls
     pieces = F.split("ncx", "(?=<(?:\\w{1,20}:)?navPoint[\\s>])", -1)
     points = F.filter(pieces, lambda p: p.rlike("^<(?:\\w+:)?navPoint[\\s>]"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import at, let, whole
-from ..functions.markup import attribute, elements, first_element, leading_float, part_text, text_content
+from ..functions.markup import attribute, elements, first_element, leading_float, part_text, plain_markup, text_content
 from ..functions.xmltext import is_valid_xml
 from ..sources.archive import archive_parts, open_packages
 from .faults import fault, package_errors, part_faults
@@ -30,7 +30,7 @@ def _page_rows(docs: DataFrame) -> DataFrame:
         i.alias("page_no"), F.coalesce(F.nullif(attribute(p, "ID"), F.lit("")), F.concat(F.lit("Page_"), i.cast("string"))).alias("id"),
         part_text(parts, F.concat(F.lit("Doc_0/Pages/Page_"), i.cast("string"), F.lit("/Content.xml"))).alias("xml"),
     ))
-    return docs.select("path", F.inline(loaded)).withColumn("xml", F.when(is_valid_xml(F.col("xml")), F.col("xml")))
+    return docs.select("path", F.inline(loaded)).withColumn("xml", F.when(is_valid_xml(F.col("xml")), plain_markup(F.col("xml"))))
 
 
 def pages_errors(docs: DataFrame) -> DataFrame:

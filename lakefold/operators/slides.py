@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import at, let
 from ..functions.markup import (
-    RELS_SCHEMA, attribute, elements, first_element, has_element, leading_int, part, part_struct, part_text, resolve_target, text_content, texts_of,
+    RELS_SCHEMA, attribute, elements, first_element, has_element, leading_int, part, part_struct, part_text, plain_markup, resolve_target, text_content, texts_of,
 )
 from ..functions.scalars import emu_to_px
 from ..functions.xmltext import is_valid_xml, xml_fault, xml_text
@@ -74,7 +74,7 @@ def _slide_rows(decks: DataFrame, max_slides: int | None = None, rels: bool = Fa
         return F.struct(*fields)
 
     rows = decks.select("path", F.size(_slide_list(parts)).alias("total_slides"), F.inline(F.transform(listed, load)))
-    return rows.withColumn("xml", F.when(is_valid_xml(F.col("xml")), F.col("xml")))
+    return rows.withColumn("xml", F.when(is_valid_xml(F.col("xml")), plain_markup(F.col("xml"))))
 
 
 def slides_errors(decks: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def _dps_rows(decks: DataFrame, extra: dict[str, Column] | None = None) -> DataF
     parts, extra = F.col("parts"), extra or {}
     loaded = F.transform(_dps_list(parts), lambda s: F.struct(s["slide_no"].alias("slide_no"), part_text(parts, s["part"]).alias("xml")))
     rows = decks.select("path", *[c.alias(n) for n, c in extra.items()], F.inline(F.filter(loaded, lambda s: s["xml"].isNotNull())))
-    return rows.filter(is_valid_xml(F.col("xml")))
+    return rows.filter(is_valid_xml(F.col("xml"))).withColumn("xml", plain_markup(F.col("xml")))
 
 
 def dps_errors(decks: DataFrame) -> DataFrame:
